@@ -5,13 +5,14 @@ hash value and is held sparsely; two sketches differ in at most as many bits as
 do their folds to fewer bits. With Jaccard >= 3/4 the symmetric difference is at most d = (|A| + |B|) / 7.
 
 1. Candidates (pigeonhole). Within the band of sizes 2**c up to 2**(c+1) the sketch is cut into k blocks of hash values.
-   At most d blocks differ. A document emits its first d+1 non-empty blocks (d for its largest possible partner) as
-   64-bit keys, and a few to spare, so two linked documents share a key. A set that fills d blocks or fewer also emits
-   its d+1 smallest shingles, in a band of its own kind; so no pair is lost to an unlucky hash. A document that may have
-   a partner in the next band emits for that too.
-2. A key that many documents share is dropped for a document with spare keys for all its such keys: the d+1 others
-   still guarantee a match, so this loses no link. Keys of up to FEW documents give their pairs; in the rest each
-   document is paired with the key's first, and only documents still in different components after that are paired.
+   At most d blocks differ (d for the largest possible partner). A document emits its m non-empty blocks as 64-bit keys,
+   so two linked documents share m - d keys or more. A set that fills d blocks or fewer also emits its d+1 smallest
+   shingles, in a band of its own kind; so no pair is lost to an unlucky hash. A document that may have a partner in the
+   next band emits for that too.
+2. Of the keys that many documents share, each document drops its most frequent, up to m - d - 1. The least frequent
+   key that two linked documents share is none of those, for either, so this loses no link. Keys of up to FEW documents
+   give their pairs; in the rest each document is paired with a head of the key. Documents still in different components after that are compared by their
+   dense sketches, in tiles of a bounded number of documents.
 3. Verification. Sizes, then the Hamming distance of dense folded sketches, then the shingle sets themselves.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -31,7 +33,12 @@ from .work import folder, shuffle_partitions, small_side, staged, text_bytes
 
 #: Keys of at most so many documents give all their pairs, which is at most 28 each.
 FEW = 8
-_KEY = np.dtype([("key", "u8"), ("cls", "i8"), ("cfg", "u1"), ("spare", "u1")])
+#: In larger keys each document is paired with one head; keys draw theirs in so many ways, so a group of near copies,
+#: which has many keys in common, is tried against several heads.
+HEADS = 12
+#: Documents in a tile of a key's comparisons.
+TILE = 4096
+_KEY = np.dtype([("key", "u8"), ("cls", "i8"), ("cfg", "u1"), ("spare", "u2")])
 _BAND = 0xD6E8FEB86659FD93
 _BLOCK = U(0xA0761D6478BD642F)
 
@@ -46,8 +53,8 @@ def set_class(shingles: np.ndarray) -> int:
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
-    """The parity sketch folded to the power of two of bits from the set's size on, 64 at least."""
-    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    """The parity sketch folded to a power of two of bits, four to eight for each member, 256 at least."""
+    bits = max(256, 4 << (len(shingles) - 1).bit_length())
     return np.packbits((np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -72,10 +79,7 @@ def pigeonhole_keys(shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int
         blocks = 4 * low if low <= 32 else int(low / 1.3)
         block = (shingles >> U(32)) * U(blocks) >> U(32)  # ascends with the shingles
         first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        spare = max(0, min(len(first) - d - 1, 4 + n // 16, 255))
-        used = first[: d + 1 + spare]
-        parity = np.bitwise_xor.reduceat(shingles, first)[: len(used)]
-        yield mix(mix(parity) + block[used] * _BLOCK + _band(band)), band, spare
+        yield mix(mix(np.bitwise_xor.reduceat(shingles, first)) + block[first] * _BLOCK + _band(band)), band, max(0, min(len(first) - d - 1, 65535))
         if len(first) <= d:
             yield mix(shingles[: d + 1] + _band(64 + band)), 64 + band, 0
 
@@ -162,6 +166,44 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def near_pairs(sketches: list[bytes], sizes: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row pairs (one of ``left``, one of ``right``) of different roots whose sizes and sketches allow a link."""
+    lengths = np.array([len(x) for x in sketches])
+    matrix = {n: np.frombuffer(b"".join(x for x in sketches if len(x) == n), U).reshape(-1, n // 8) for n in np.unique(lengths).tolist()}
+    place = np.zeros(len(lengths), np.int64)
+    for n in matrix:
+        place[lengths == n] = np.arange((lengths == n).sum())
+    for m, rows in matrix.items():
+        for n, others in matrix.items():
+            if n not in (m, 2 * m):  # farther sizes can't link
+                continue
+            folded = others if n == m else others[:, : m // 8] ^ others[:, m // 8 :]
+            at_a, at_b = left[lengths[left] == m], right[lengths[right] == n]
+            if n != m and left is not right:
+                at_a, at_b = np.concatenate((at_a, right[lengths[right] == m])), np.concatenate((at_b, left[lengths[left] == n]))
+            theirs = folded[place[at_b]]
+            for i in at_a.tolist():
+                gap = np.bitwise_count(theirs ^ rows[place[i]]).sum(axis=1, dtype=np.int64)
+                fit = (7 * gap <= sizes[i] + sizes[at_b]) & (roots[at_b] != roots[i]) & (4 * np.minimum(sizes[i], sizes[at_b]) >= 3 * np.maximum(sizes[i], sizes[at_b]))
+                for j in at_b[fit].tolist():
+                    yield i, j
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Near pairs of different components of each key of the group, once each."""
+    key, tile, cls, n, root = (table.column(c).to_numpy() for c in ("key", "tile", "cls", "n", "root"))
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    sketches = table.column("sketch").to_pylist()
+    found: set[tuple[int, int]] = set()
+    order = np.argsort(key, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        left, right = np.flatnonzero(tile[rows] == lo), np.flatnonzero(tile[rows] == hi)
+        for i, j in near_pairs([sketches[x] for x in rows.tolist()], n[rows], root[rows], left, left if lo == hi else right):
+            a, b = int(cls[rows[i]]), int(cls[rows[j]])
+            found.add((min(a, b), max(a, b)))
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(set_class(s), s.tobytes()) for _, s in shingle_sets(batch.column("text")) if len(s)]
@@ -208,20 +250,24 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     found = docs.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary").filter("length(keys) > 0").groupBy("bucket").applyInArrow(_groups, "key long, a long, b long, cfg int, spare int")
     found = staged(found, f"{path}/found")
     many = found.filter("cfg >= 0").select("key", F.col("a").alias("cls"), "cfg", "spare")
-    bound = many.groupBy("cls", "cfg").agg(F.count("*").alias("shared"))
-    many = staged(many.join(bound, ["cls", "cfg"]).filter("shared > spare").select("key", "cls"), f"{path}/many")
-    heads = many.groupBy("key").agg(F.min("cls").alias("head"))
-    stars = many.join(heads, "key").filter("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    size = many.groupBy("key").agg(F.count("*").alias("size"))
+    hottest = W.partitionBy("cls", "cfg").orderBy(F.desc("size"), "key")
+    many = staged(many.join(size, "key").withColumn("nth", F.row_number().over(hottest)).filter("nth > spare").select("key", "cls"), f"{path}/many")
+    draw = F.struct(F.xxhash64("cls", F.pmod("key", F.lit(HEADS))), F.col("cls").alias("cls"))
+    heads = many.groupBy("key").agg(F.min(draw)["cls"].alias("head"))
+    stars = many.join(heads, "key").filter("head <> cls").select(F.least("head", "cls").alias("a"), F.greatest("head", "cls").alias("b"))
     pairs = found.filter("cfg < 0").select("a", "b").unionByName(stars).distinct()
     links = _verified(docs, pairs, classes, f"{path}/first")
     roots = components(links, f"{path}/first")
 
     rooted = many.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cls").alias("head")).filter("lo <> hi").select("key", "head")
-    rest = staged(rooted.join(mixed, "key").join(classes.select("cls", "n"), "cls"), f"{path}/rest")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+    mixed = mixed.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    rest = staged(rooted.join(mixed, "key").select("key", "cls", "root", "tiles").join(classes.select("cls", "n", "sketch"), "cls"), f"{path}/rest")
     if not rest.isEmpty():
-        left, right = rest.select("key", "head", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), rest.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        cross = left.join(right, "key").filter("a < b and ra <> rb and a <> head and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
+        dealt = rest.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.select("key", "cls", "root", "n", "sketch", "tile", F.pmod("key", F.lit(buckets)).alias("bucket"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+        cross = dealt.groupBy("bucket", "lo", "hi").applyInArrow(_compared, "a long, b long").distinct()
         roots = components(links.unionByName(_verified(docs, cross, classes, f"{path}/second")), f"{path}/second")
 
     grouped = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
