@@ -47,9 +47,10 @@ def mixture(docs: DataFrame, size: str, source: str = "source", doc_id: str = "d
     count as 0, and a source without words has target 0. Repeated rows count one by one; an empty table gives none.
     """
     rows = docs.withColumns({"_size": F.coalesce(F.col(size).cast("long"), F.lit(0)), "_source": F.col(source).cast("string")})
-    bits = F.length(F.bin("_size"))
+    # The length in binary, then the next three digits: classes of about a tenth of their size.
+    size_class = F.expr("CASE WHEN _size > 0 THEN length(bin(_size)) * 8 + shiftright(_size * 8, length(bin(_size)) - 1) ELSE 0 END").cast("long")
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = rows.withColumns({"_key": F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")), "_class": F.when(F.col("_size") > 0, bits * 8 + F.shiftright((F.col("_size") * 8), bits - 1)).otherwise(0).cast("long"), "_digest": digest})
+    rows = rows.withColumns({"_key": F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")), "_class": size_class, "_digest": digest})
     rows = rows.withColumn("_salt", F.substring("_digest", 1, 3))
     cells = rows.groupBy("_key", "_source", "_class", "_salt").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words"))
     sources = targets(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, most)

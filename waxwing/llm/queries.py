@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .jaccard import jaccard_components
+from . import decontamination, jaccard, lines, mixing, neighbours, quality, sharding, tokencount, tokenorder
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -14,16 +15,66 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
-    return jaccard_components(_table(spark, directory, "documents"))
+    return jaccard.jaccard_components(_table(spark, directory, "documents"))
 
 
-_ALL = (op1_ngram_jaccard_join,)
-_SQL: dict[str, str] = {}
+def op2_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    sized = _table(spark, directory, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    mixed = mixing.mixture(sized, "size")
+    return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+
+
+def op3_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    texts = _table(spark, directory, "documents").select("doc_id", "text")
+    rated = quality.scored(texts, _table(spark, directory, "labels")).drop("text")
+    return rated.select("doc_id", quality.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    kept = lines.deduplicated(_table(spark, directory, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+def op6_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    dealt = sharding.sharded(_table(spark, directory, "documents").select("doc_id", "text")).drop("text")
+    return dealt.select("doc_id", F.col("_size").alias("size"), F.col("_crc32").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_grown_shard").alias("grown_shard"))
+
+
+def op7_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, directory, "embeddings"))
+
+
+def op9_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return tokencount.document_counts(_table(spark, directory, "documents"))
+
+
+def op10_training_order(spark: SparkSession, directory: str) -> DataFrame:
+    return tokenorder.in_training_order(_table(spark, directory, "documents"))
+
+
+_ALL = (
+    op1_ngram_jaccard_join,
+    op2_mixing,
+    op3_quality_classifier,
+    op5_line_dedup,
+    op6_sharding,
+    op7_decontamination,
+    op8_nearest_neighbours,
+    op9_token_counts,
+    op10_training_order,
+)
+_SQL = {"op2_mixing": mixing.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Query name -> function of (spark, directory of the Parquet tables)."""
     return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that it can express."""
     return dict(_SQL)
