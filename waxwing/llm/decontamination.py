@@ -113,5 +113,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the contaminated ones; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, doc_id=doc_id).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(small_side(bad), docs[doc_id] == F.col("_bad"), "left_anti")
+    bad = small_side(contaminated(docs, benchmark, doc_id=doc_id).select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")

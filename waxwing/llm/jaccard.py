@@ -277,10 +277,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component of near duplicates: that of the smallest doc_id, once if repeated.
+    """``docs`` with one document of each component of near duplicates: that of the smallest doc_id.
 
-    Rows without shingles all stay; so do rows with a null doc_id whose component has no other id.
+    Rows without shingles all stay, and so do rows with a null doc_id; of rows that repeat both id and text one stays.
     """
-    found = jaccard_components(docs, text, doc_id).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(found, docs[doc_id] == found["_gone"], "left_anti")
+    gone = jaccard_components(docs, text, doc_id).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = small_side(staged(gone, f"{folder(docs.sparkSession)}/gone"))
+    left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    # Seen from the ids alone; the texts move only if some id repeats.
+    if left.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("_rows")).filter("_rows > 1").isEmpty():
+        return left
     return left.dropDuplicates([doc_id, text])

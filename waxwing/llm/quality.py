@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textkit import U, binary_chunks, mix, powers, prefix_hash, word_spans
 from .work import small_side, text_bytes
@@ -152,5 +153,5 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels, sample))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", text_bytes(text)).mapInArrow(_scored(model), f"{schema}, _score double")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != "_score"), T.StructField("_score", T.DoubleType())])
+    return docs.drop("_score").withColumn("_text", text_bytes(text)).mapInArrow(_scored(model), schema)

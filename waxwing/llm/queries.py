@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lines, mixing, neighbours, quality, sharding, tokencount, tokenorder
+from . import decontamination, jaccard, lines, mixing, neighbours, quality, sharding, suffixes, tokencount, tokenorder
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     return rated.select("doc_id", quality.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    kept = suffixes.without_repeats(_table(spark, directory, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     kept = lines.deduplicated(_table(spark, directory, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
@@ -60,6 +65,7 @@ _ALL = (
     op1_ngram_jaccard_join,
     op2_mixing,
     op3_quality_classifier,
+    op4_suffix_array_dedup,
     op5_line_dedup,
     op6_sharding,
     op7_decontamination,
