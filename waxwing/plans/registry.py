@@ -34,7 +34,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 #: The modules that register queries.
-MODULES = ("predicates", "joins")
+MODULES = ("predicates", "joins", "text")
 
 
 def _load() -> None:
