@@ -22,12 +22,12 @@ _projected("clean_tag", "trim(regexp_replace(replace(replace(replace('  ' || tit
 _projected("normalize_title", "regexp_replace(trim(lower(title)), '[^\\p{L}\\p{N}_\\s]', '', 'g') AS plain", plain=lambda: X.normalize_title(_t()))
 _stem = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '(?i)\\s+(feat\\.?|ft\\.?|featuring|with)\\s+.*$', ''), '(\\s*[(\\[][^()\\[\\]]*[)\\]]\\s*)+$', ''), '\\s[-–—]\\s.*$', ''), '\\s+', ' ', 'g')))"  # noqa: RUF001
 _projected("title_stem", f"{_stem} AS stem", stem=lambda: X.title_stem(_t()))
-_label = "CASE id % 8 WHEN 0 THEN 'original' WHEN 1 THEN 'remix' WHEN 2 THEN 'radio' WHEN 3 THEN 'extended' WHEN 5 THEN 'remix' WHEN 6 THEN 'edit' END"
-_remixer = "CASE WHEN id % 8 IN (1, 5) THEN artist END"
-_modifiers = "CASE id % 8 WHEN 0 THEN 'Original' WHEN 1 THEN 'Remix' WHEN 2 THEN 'Radio' WHEN 3 THEN 'Extended' WHEN 5 THEN 'Extended,Remix' WHEN 6 THEN '2019' END"
+_label = "CASE id % 8 WHEN 0 THEN 'original' WHEN 1 THEN 'remix' WHEN 2 THEN 'edit' WHEN 3 THEN 'extended' WHEN 5 THEN 'remix' WHEN 6 THEN 'edit' END"
+_remixer = "CASE WHEN id % 8 IN (1, 5) THEN artist WHEN id % 8 = 2 THEN 'Radio' END"  # the remixer shape comes before the plain one
+_modifiers = "CASE id % 8 WHEN 0 THEN 'Original' WHEN 1 THEN 'Remix' WHEN 2 THEN 'Edit' WHEN 3 THEN 'Extended' WHEN 5 THEN 'Extended,Remix' WHEN 6 THEN '2019' END"
 _tag = lambda: X.version_tag(_t())
 _projected("version_tag", f"{_label} AS label, {_remixer} AS remixer, {_modifiers} AS modifiers", label=lambda: _tag()["label"], remixer=lambda: _tag()["remixer"], modifiers=lambda: F.array_join(_tag()["modifiers"], ","))
-_projected("classify_variant", f"coalesce({_label}, 'original') AS label, regexp_replace({_stem}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS root, {_remixer} AS remixer, artist AS primary_artist", label=lambda: F.coalesce(_tag()["label"], F.lit("original")), root=lambda: X.normalize_title(X.title_stem(_t())), remixer=lambda: _tag()["remixer"], primary_artist=lambda: F.element_at(X.split_artists(_a()), 1))
+_projected("classify_variant", f"coalesce({_label}, 'original') AS label, {_stem} AS root, {_remixer} AS remixer, regexp_replace(trim(lower(artist)), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS primary_artist", label=lambda: F.coalesce(_tag()["label"], F.lit("original")), root=lambda: X.title_stem(_t()), remixer=lambda: _tag()["remixer"], primary_artist=lambda: X.normalize_title(_a()))
 _projected("rename_template", "regexp_replace(artist || ' - ' || title || ' ' || round_even(id / 4.0, 0)::BIGINT, '[<>:\"/\\\\|?*]', '', 'g') AS name", name=lambda: X.rename("%Artist% - %Title% %BPM%%Key%", _a(), _t(), F.col("id") / 4.0, F.lit("")))
 _projected("comment_set", "'new' AS comment", comment=lambda: X.changed_comment("set", _t(), put="new"))
 _projected("comment_append", "CASE WHEN contains(title, 'Mix') THEN title ELSE title || ' Mix' END AS comment", comment=lambda: X.changed_comment("append", _t(), put="Mix"))
