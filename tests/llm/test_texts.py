@@ -78,6 +78,32 @@ def test_line_dedup_removes_aligned_blocks_from_the_later_document(spark):
     assert lines.deduplicated(corpus.nothing(spark)).collect() == []
 
 
+def test_line_dedup_equals_aligning_all_pairs(spark):
+    pick = random.Random(12)
+    common = ["", "}", "short", "  ", *(f"a line that many documents hold, number {i}" for i in range(6)), *(f"tiny {i}" for i in range(4))]
+    texts = {}
+    for i in range(120):
+        held = [pick.choice(common) if pick.random() < 0.6 else f"own {i} {pick.randrange(9**9)}" for _ in range(pick.randrange(1, 12))]
+        texts[i] = "\n".join(held)
+    # A rare line and, out of its holder's reach, a passage that many hold; two passages of different first holders.
+    texts |= {200 + i: f"a passage that many hold\nown {i}" for i in range(20)} | {230 + i: f"another passage of many\nown {i}x" for i in range(20)}
+    texts |= {300: "a line that only two hold\nx", 301: "a line that only two hold\ny\na passage that many hold\nz\nanother passage of many"}
+    texts |= {302: "a passage that many hold\nown 302"}
+    number: dict[str, int] = {}
+    listed = {k: [number.setdefault(x.rstrip(" "), len(number)) for x in t.split("\n")] for k, t in texts.items()}
+    sizes = {k: [len(x.strip(" ")) for x in t.split("\n")] for k, t in texts.items()}
+    expected, first = {}, {}
+    for k in sorted(texts):
+        gone = {j for e in texts if e < k and texts[e] != texts[k] for j in lines.common_lines(listed[e], listed[k], sizes[k])}
+        copy = texts[k] in first and sum(sizes[k]) >= lines.LEAST
+        # Copies share one result; all lines of a later one go.
+        expected[k] = list(range(len(sizes[k]))) if copy else expected[first[texts[k]]] if texts[k] in first else sorted(gone)
+        first.setdefault(texts[k], k)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    assert {r.doc_id: list(r._removed) for r in lines.deduplicated(docs).collect()} == expected
+    assert expected[301] == [0, 2, 4]
+
+
 def test_patience_alignment_is_common_and_ascending():
     pick = random.Random(8)
     for _ in range(200):

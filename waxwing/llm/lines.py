@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import folder, staged
+from .work import folder, small_side, staged
 
-#: A line in at most so many different texts is rare; a common block of fewer bytes stays.
-RARE, LEAST = 10, 20
+#: A common block of fewer bytes stays.
+LEAST = 20
+#: Stands for lines that no other text holds.
+SPACER = 0
 
 
 def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
@@ -73,11 +78,76 @@ def common_lines(earlier: list[int], later: list[int], sizes: list[int], least:
     return out
 
 
+def reduced(hashes: list[int], shared: set[int]) -> tuple[list[int], list[int]]:
+    """The text's shared lines with each run of others as one SPACER, and their line numbers.
+
+    Patience alignment with another text is the same for it: lines that no other text holds only part the rest.
+    """
+    shape: list[int] = []
+    places: list[int] = []
+    for i, h in enumerate(hashes):
+        if h in shared:
+            shape.append(h)
+            places.append(i)
+        elif not shape or shape[-1] != SPACER:
+            shape.append(SPACER)
+            places.append(-1)
+    return shape, places
+
+
+def windows(shape: list[int], sizes: list[int], least: int = LEAST) -> dict[int, list[int]]:
+    """Hash of a window -> the places it is for: each least run of shared lines of ``least`` bytes with the place in it.
+
+    An aligned block that a place goes with holds one of the place's windows, so its holders are all that can remove it.
+    """
+    sums = [0, *accumulate(sizes)]
+    found: dict[int, list[int]] = {}
+    start = 0
+    for end in [*(i for i, h in enumerate(shape) if h == SPACER), len(shape)]:
+        filled = [i for i in range(start, end) if sizes[i]]
+        for j in range(start, end):
+            before = filled[: bisect_left(filled, j)]
+            for s in [j, *reversed(before)]:
+                e = max(bisect_left(sums, sums[s] + least, s), j + 1)
+                if e <= end and (s == j or sums[e] - sums[s + 1] < least):
+                    places = found.setdefault(hash((j - s, *shape[s:e])), [])
+                    places.append(j)
+                if e == j + 1:
+                    break
+        start = end + 1
+    return found
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shapes, places, sizes, keys = [], [], [], []
+        for hashes, known, size in zip(*(batch.column(c).to_pylist() for c in ("hashes", "shared", "sizes")), strict=True):
+            blank = {h for h, n in zip(hashes, size, strict=True) if not n}
+            shape, at = reduced(hashes, blank.union(known))
+            shapes.append(shape)
+            places.append(at)
+            sizes.append([size[i] if i >= 0 else 0 for i in at])
+            keys.append(md5(array("q", shape).tobytes()).hexdigest())
+        arrays = [batch.column("node"), batch.column("order"), pa.array(keys, pa.string()), pa.array(shapes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["node", "order", "shape", "hashes", "places", "sizes"])
+
+
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [windows(h, n, least) for h, n in zip(batch.column("hashes").to_pylist(), batch.column("sizes").to_pylist(), strict=True)]
+            keys, at = pa.array([list(x) for x in found], pa.list_(pa.int64())), pa.array([list(x.values()) for x in found], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column("shape"), batch.column("first"), batch.column("last"), keys, at], ["shape", "first", "last", "keys", "at"])
+
+    return run
+
+
 def _aligned(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("ours", "theirs", "sizes")), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array([common_lines(b, a, n, least) for a, b, n in rows], pa.list_(pa.int32()))], ["node", "gone"])
+            gone = [common_lines([-1 if h == SPACER else h for h in b], a, n, least) for a, b, n in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("later"), batch.column("since"), pa.array(gone, pa.list_(pa.int32()))], ["shape", "since", "gone"])
 
     return run
 
@@ -86,13 +156,39 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: int = RARE, least: int = LEAST) -> DataFrame:
+def _cut(held: DataFrame, classes: DataFrame, least: int, path: str) -> DataFrame:
+    """(shape, since): the places of each shape that an aligned holder removes, each with the earliest such holder."""
+    ours = classes.select(F.col("shape").alias("later"), F.col("hashes").alias("ours"), "sizes")
+    theirs = classes.select(F.col("shape").alias("earlier"), F.col("hashes").alias("theirs"), F.col("first").alias("since"))
+    holders = held.select("key", F.col("shape").alias("earlier"), F.col("first").alias("since"), "nth")
+    goal = held.select("shape", "last", "key", "holders", F.explode("at").alias("at"))
+    tried, found, low, high = None, None, 0, 1
+    most = held.agg(F.max("holders")).first()[0] or 0
+    while low < most or found is None:
+        wanted = goal.filter(F.col("holders") > low)
+        if found is None:
+            wanted = wanted.withColumn("until", F.col("last"))
+        else:  # a place that is found can only be found earlier
+            wanted = wanted.join(found, ["shape", "at"], "left").withColumn("until", F.least("last", "first"))
+        wanted = wanted.groupBy("shape", "key").agg(F.max("until").alias("until"))
+        pairs = wanted.join(holders.filter((F.col("nth") >= low) & (F.col("nth") < high)), "key").filter(F.col("since") < F.col("until")).select(F.col("shape").alias("later"), "earlier").distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["later", "earlier"], "left_anti"), f"{path}/pairs{high}")
+        gone = pairs.join(theirs, "earlier").join(ours, "later").select("later", "since", "ours", "theirs", "sizes").mapInArrow(_aligned(least), "shape string, since struct<last: boolean, id: bigint, node: string>, gone array<int>")
+        gone = gone.select("shape", F.explode("gone").alias("at"), F.col("since").alias("first"))
+        gone = gone if found is None else gone.unionByName(found)
+        found = staged(gone.groupBy("shape", "at").agg(F.min("first").alias("first")), f"{path}/found{high}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        low, high = high, high * 16
+    return found.groupBy("shape").agg(F.collect_list(F.struct("at", "first")).alias("since"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """``docs`` with _n_lines, _removed (line numbers from 0) and _kept, the text without those lines.
 
-    Documents that share a rare line are aligned: each later one with the line's first holder and with the one before
-    it. A document that shares lines but no rare one is aligned with the first holder of the rarest of them; so every
-    shared line counts, and pairs grow with the lines and not with their holders' square. Aligned common blocks go from
-    the later document, judged on the texts as given. Of equal texts all lines of the later ones go.
+    A later document loses each line that is in an aligned common block with any earlier one: the result is that of
+    aligning all pairs. Texts that differ only in lines no other text holds are one shape, as they align alike. Shapes
+    are aligned with holders of their windows, earliest first and ever more of them, until each line is removed or all its
+    holders were tried. Blocks are judged on the texts as given. Of equal texts all lines of the later ones go.
 
     Later means a larger doc_id, and a null id comes last; texts of one id are ordered by their hash. Rows that repeat an
     id and text share one result. Null and empty texts have one empty line and keep it. Columns of these names are replaced.
@@ -106,17 +202,20 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ra
     texts = staged(texts, f"{path}/texts")
     filled = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] > 0), lambda x: x["hashes"]))
     lines = texts.select("node", "order", F.explode(filled).alias("line"))
-    known = lines.groupBy("line").agg(F.count("*").alias("holders"), F.min("order").alias("first")).filter("holders > 1")
-    shared = lines.join(known, "line").select("line", "holders", "node", "order", "first")
-    prior = F.when(F.col("holders") <= rare, F.lag("order").over(W.partitionBy("line", F.when(F.col("holders") > rare, F.col("node"))).orderBy("order")))
-    held = shared.withColumn("prior", prior).filter(F.col("first") < F.col("order"))
-    held = held.withColumn("rarest", F.min(F.struct("holders", "line")).over(W.partitionBy("node")))
-    used = (F.col("holders") <= rare) | ((F.col("rarest.holders") > rare) & (F.col("rarest.line") == F.col("line")))
-    pairs = held.filter(used).select(F.col("node").alias("later"), F.explode(F.array_compact(F.array("first.node", "prior.node"))).alias("earlier")).distinct()
-    ours = texts.select(F.col("node").alias("later"), F.col("hashes").alias("ours"), "sizes")
-    theirs = texts.select(F.col("node").alias("earlier"), F.col("hashes").alias("theirs"))
-    cut = pairs.join(theirs, "earlier").join(ours, "later").select("later", "ours", "theirs", "sizes").mapInArrow(_aligned(least), "node string, gone array<int>")
-    cut = cut.filter(F.size("gone") > 0).groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    known = lines.groupBy("line").agg(F.count("*").alias("holders")).filter("holders > 1").select("line")
+    shared = lines.join(small_side(known), "line").groupBy("node").agg(F.collect_list("line").alias("shared"))
+    order = "order struct<last: boolean, id: bigint, node: string>"
+    shapes = texts.join(shared, "node").select("node", "order", "hashes", "sizes", "shared").mapInArrow(_reduced, f"node string, {order}, shape string, hashes array<bigint>, places array<int>, sizes array<int>")
+    shapes = staged(shapes, f"{path}/shapes")
+    classes = shapes.groupBy("shape").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.any_value("hashes").alias("hashes"), F.any_value("sizes").alias("sizes"))
+    classes = staged(classes, f"{path}/classes")
+    held = classes.mapInArrow(_windows(least), f"shape string, {order.replace('order', 'first', 1)}, {order.replace('order', 'last', 1)}, keys array<bigint>, at array<array<int>>")
+    held = held.select("shape", "first", "last", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("shape", "first", "last", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
+    by_key = W.partitionBy("key")
+    held = held.withColumn("holders", F.count("*").over(by_key)).withColumn("nth", F.row_number().over(by_key.orderBy("first")) - 1).withColumn("used", F.min("first").over(by_key) < F.max("last").over(by_key))
+    held = staged(held.filter("used").drop("used"), f"{path}/held")
+    cut = _cut(held, classes, least, path)
+    cut = shapes.join(cut, "shape").select("node", F.sort_array(F.transform(F.filter("since", lambda x: x["first"] < F.col("order")), lambda x: F.element_at("places", x["at"] + 1))).alias("gone")).filter(F.size("gone") > 0)
     first = texts.select("node", F.col("order.id").alias("first"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("bytes"))
     known = staged(first.join(cut, "node", "left").withColumnRenamed("node", "_node").withColumnRenamed("gone", "_gone").withColumnRenamed("first", "_first").withColumnRenamed("bytes", "_bytes"), f"{path}/cut")
 
