@@ -138,6 +138,20 @@ def test_decontamination_finds_items_and_other_values(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_adds_windows_around_inserted_and_deleted_words(spark):
+    item = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(37)]
+    noise = [f"noise{chr(97 + i % 7)}" for i in range(30)]
+    put = [*item[:18], "more", *item[18:]]
+    twice = [*item[:12], "more", *item[12:24], "again", *item[24:]]
+    out = [*item[:18], *item[19:]]
+    texts = [put, out, twice, item[:9], [*item[:18], *noise, *item[18:]]]
+    docs = spark.createDataFrame([(i, " ".join([*noise, *t, *noise])) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.matched, r.windows) for r in decontamination.contaminated(docs, bench).collect()}
+    # Halves far from each other aren't added: the larger one alone has 12.
+    assert found == {0: (23, 30), 1: (22, 30), 2: (16, 30), 4: (12, 30)}
+
+
 def test_decontamination_stays_in_sql(spark):
     docs, bench = corpus.documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontamination.contaminated(docs, bench)._jdf.queryExecution().toString()

@@ -9,12 +9,15 @@ item, each of the item's values must stand for one value of the document, and th
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .work import small_side
 
 #: Words in a window, and the share of an item's windows that must match in one alignment.
 WINDOW, COVERED = 8, 0.4
+#: Words by which the windows of one alignment may be shifted against each other, as by inserted or deleted words.
+DRIFT = 8
 #: Unit words, which count as units directly after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams lb lbs oz ounce ounces ton tons ml l liter liters litre litres "
@@ -75,11 +78,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", "length", "ipos", "windows", F.xxhash64(part("hashed")).alias("hash"), slots.alias("slots")).withColumn("literal", F.col("length") - F.size("slots"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, covered: float = COVERED) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, covered: float = COVERED, drift: int = DRIFT) -> DataFrame:
     """(doc_id, item_id, matched, windows): documents that hold a benchmark item, as it is or with other slot values.
 
     One row for each document and item of which ``covered`` of the windows match in one alignment, with the most windows
-    matched. A window with slots matches if values map one to one along the alignment; one with fewer literal words than
+    matched. An alignment adds the windows of shifts at most ``drift`` words apart, so words put in or left out cost only the
+    windows that hold them. A window with slots matches if values map one to one along the alignment; one with fewer literal words than
     slots only if its values are equal. Windows run over whole texts. Null, empty and wordless texts and items match
     nothing; rows with a null id are left out of the result; rows that repeat an id count as one document. The benchmark
     is broadcast only after a count of its windows, and shuffled beyond the bound.
@@ -104,10 +108,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     again = again.filter((F.col("literal") >= F.size("slots")) | (F.col("own") == F.col("slots")))
     again = again.select("doc_id", "item_id", "windows", "ipos", "dpos", F.zip_with("slots", "own", lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
 
-    # An item's length bounds the values of one alignment, so these sets are small.
-    aligned = exact.unionByName(again).groupBy("doc_id", "item_id", "windows", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.count_distinct("ipos").alias("matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    # An alignment holds the windows of neighbouring shifts; an item's length bounds its values, so these sets are small.
+    aligned = exact.unionByName(again).groupBy("doc_id", "item_id", "windows", (F.col("dpos") - F.col("ipos")).cast("long").alias("shift")).agg(F.collect_set(F.struct("ipos", "pairs")).alias("part"))
+    near = W.partitionBy("doc_id", "item_id", "windows").orderBy("shift")
     one_to_one = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k]))) == F.size("pairs")
-    hit = aligned.filter(one_to_one("i") & one_to_one("d")).filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
+    judged = lambda df: df.withColumn("pairs", F.array_distinct(F.flatten(F.transform("part", lambda x: x["pairs"])))).filter(one_to_one("i") & one_to_one("d"))
+    # A shift whose values hold by themselves counts also where a neighbour's contradict them.
+    chained = aligned.withColumn("part", F.flatten(F.collect_list("part").over(near.rangeBetween(0, drift))))
+    alone = judged(aligned).unionByName(judged(chained))
+    hit = alone.withColumn("matched", F.size(F.array_distinct(F.transform("part", lambda x: x["ipos"]))).cast("long")).filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
     return hit.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").cast("long").alias("windows"))
 
 
