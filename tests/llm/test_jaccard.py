@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import corpus
@@ -67,6 +68,49 @@ def test_many_near_copies_and_a_common_passage(spark):
     assert Counter(map(tuple, jaccard.jaccard_components(docs).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("every", [32, 1 << 40])
+def test_a_hot_group_about_the_threshold(spark, monkeypatch, every):
+    """500 copies of one text that link to few of the others: its keys are hot, and most near pairs are no links."""
+    monkeypatch.setattr(jaccard, "TILE", 50)
+    monkeypatch.setattr(jaccard, "EVERY", every)  # the latter: no key gives a forest
+    pick = random.Random(17)
+    base = [f"b{pick.randrange(10**6)}" for _ in range(80)]
+    rows = []
+    for i in range(500):
+        copy = list(base)
+        at = pick.randrange(0, 65)
+        for j in range(at, at + pick.choice((3, 5, 7, 8, 9, 12))):
+            copy[j] = f"c{pick.randrange(10**6)}"
+        rows.append((i, " ".join(copy), None, None, 0, 0, 0, ""))
+    wanted = brute(rows)
+    assert 20 < len({c for _, _, c in wanted}) < 480
+    assert Counter(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, corpus.SCHEMA).repartition(6)).collect())) == wanted
+
+
+def test_forests_propose_fewer_pairs_than_rows():
+    pick = np.random.default_rng(4)
+    base = pick.integers(0, 1 << 63, 200, dtype=U)
+    sets = [np.unique(np.concatenate((base[pick.random(200) < 0.97], pick.integers(0, 1 << 63, 3, dtype=U)))) for _ in range(60)]
+    rows = pa.table({"key": [1] * 60 + [2] * 60, "cls": [*range(60)] * 2, "root": [*range(60)] * 2, "n": [len(x) for x in sets] * 2, "sketch": pa.array([jaccard.dense_sketch(x) for x in sets] * 2, pa.binary()), "tile": pa.array([0] * 120, pa.int32()), "lo": pa.array([0] * 120, pa.int32()), "hi": pa.array([0] * 120, pa.int32())})
+    assert jaccard._forest(rows).num_rows == 59
+    assert jaccard._doubtful(rows).num_rows == 120 and jaccard._doubtful(rows).column("b").null_count == 120
+    for root, pairs in (([0] * 59 + [1], 0), ([0] * 60, 0)):  # one document is near 59 others: crowded; none: nothing
+        made = jaccard._doubtful(rows.set_column(2, "root", pa.array(root * 2)))
+        assert made.num_rows == 120 * len({*root} - {0}) and made.num_rows - made.column("b").null_count == pairs
+    two = rows.slice(0, 4).set_column(2, "root", pa.array([5, 5, 5, 6])).set_column(3, "n", pa.array([1, 1, len(sets[2]), len(sets[3])]))
+    assert [(r["cls"], r["b"]) for r in jaccard._doubtful(two).to_pylist()] == [(2, 3)]
+    settled = jaccard._settled(rows.append_column("shingles", pa.array([x.tobytes() for x in sets] * 2, pa.binary())))
+    assert settled.num_rows == 59
+
+
+def test_frequent_keys_leave_their_bucket():
+    rows = np.zeros(30, jaccard._KEY)
+    rows["key"], rows["cls"] = np.repeat([3, 4], [25, 5]), np.arange(30)
+    dealt = jaccard._dealt([rows], 2, 7)
+    packed = {b: np.frombuffer(k, jaccard._KEY) for b, k in zip(dealt.column("bucket").to_pylist(), dealt.column("keys").to_pylist(), strict=True)}
+    assert len(packed[1]) == jaccard.FEW + 1 and len(packed[0]) == 5 and len(packed[7]) == 25 - jaccard.FEW - 1
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(corpus.nothing(spark)).collect() == []
 

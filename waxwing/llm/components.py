@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .work import staged
@@ -50,11 +50,15 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     """
     now = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
     now = staged(now.mapInPandas(_forest, "u long, v long"), f"{path}/edges0")
-    mark, turn = None, 0
+    mark, turn = _mark(now), 0
     while True:
         turn += 1
         now = staged(_small(_large(now).distinct()).distinct(), f"{path}/edges{turn}")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = _mark(now)
         if seen == mark:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
         mark = seen
+
+
+def _mark(edges: DataFrame) -> Row:
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -8,12 +8,17 @@ do their folds to fewer bits. With Jaccard >= 3/4 the symmetric difference is at
    At most d blocks differ (d for the largest possible partner). A document emits its m non-empty blocks as 64-bit keys,
    so two linked documents share m - d keys or more. A set that fills d blocks or fewer also emits its d+1 smallest
    shingles, in a band of its own kind; so no pair is lost to an unlucky hash. A document that may have a partner in the
-   next band emits for that too.
+   next band emits for that too. Keys that a block of documents holds often leave it apart, so no group holds a hot key.
 2. Of the keys that many documents share, each document drops its most frequent, up to m - d - 1. The least frequent
    key that two linked documents share is none of those, for either, so this loses no link. Keys of up to FEW documents
-   give their pairs; in the rest each document is paired with a head of the key. Documents still in different components after that are compared by their
-   dense sketches, in tiles of a bounded number of documents.
+   give their pairs; in the rest each document is paired with a head of the key.
 3. Verification. Sizes, then the Hamming distance of dense folded sketches, then the shingle sets themselves.
+4. Documents of one key that are still in different components are compared by their dense sketches, in tiles of a
+   bounded number of shingles. Over a few of the keys, a tile first proposes a forest, at most one pair for each
+   document, of near pairs of different components; verified, it joins what is large. Then, over all keys, near pairs of
+   different components are verified one by one where they are fewer than half the tile's documents; in other tiles
+   these documents meet once more with their shingle sets, and the tile links them itself. So each pair that shares a key is
+   in one component or has been compared, and no step gives more pairs than documents.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,8 +42,10 @@ FEW = 8
 #: In larger keys each document is paired with one head; keys draw theirs in so many ways, so a group of near copies,
 #: which has many keys in common, is tried against several heads.
 HEADS = 12
-#: Documents in a tile of a key's comparisons.
-TILE = 4096
+#: Documents and shingles in a tile of a key's comparisons.
+TILE, TILE_SHINGLES = 4096, 1 << 22
+#: Forests are taken over one key in so many.
+EVERY = 32
 _KEY = np.dtype([("key", "u8"), ("cls", "i8"), ("cfg", "u1"), ("spare", "u2")])
 _BAND = 0xD6E8FEB86659FD93
 _BLOCK = U(0xA0761D6478BD642F)
@@ -94,6 +102,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task emit once
+        apart = buckets + (TaskContext.get().partitionId() << 20)
         for batch in batches:
             made: list[np.ndarray] = []
             held = 0
@@ -107,45 +116,71 @@ def _keys(buckets: int):
                     made.append(part)
                     held += len(part)
                 if held > 1_000_000:
-                    yield _dealt(made, buckets)
-                    made, held = [], 0
+                    yield _dealt(made, buckets, apart)
+                    made, held, apart = [], 0, apart + 1
             if made:
-                yield _dealt(made, buckets)
+                yield _dealt(made, buckets, apart)
+                apart += 1
 
     return run
 
 
-def _dealt(made: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """One row for each bucket of keys, with the packed keys."""
+def _dealt(made: list[np.ndarray], buckets: int, apart: int) -> pa.RecordBatch:
+    """One row for each bucket of keys, with the packed keys.
+
+    A key's rows beyond the first FEW + 1, which show its bucket that many share it, go to the bucket ``apart``, of this
+    block of documents alone.
+    """
     rows = np.concatenate(made)
-    bucket = (rows["key"] % U(buckets)).astype(np.int32)
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
+    nth = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    hot, rows = rows[nth > FEW], rows[nth <= FEW]
+    bucket = (rows["key"] % U(buckets)).astype(np.int64)
     rows = rows[np.argsort(bucket, kind="stable")]
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
     cut = [rows[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(cut, pa.binary())], ["bucket", "keys"])
-
-
-def _groups(table: pa.Table) -> pa.Table:
-    """Of the keys of a bucket that several classes share: all pairs for few classes, else the key's rows."""
-    rows = np.frombuffer(b"".join(table.column("keys").to_pylist()), _KEY)
-    order = np.argsort(rows["key"], kind="stable")
-    key = rows["key"][order]
-    same = key[1:] == key[:-1]
-    rows = rows[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]]
-    rows = rows[np.lexsort((rows["cls"], rows["key"]))]
-    if len(rows):
-        rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])))]
+    return pa.RecordBatch.from_arrays([pa.array([*range(buckets), apart], pa.int64()), pa.array([*cut, hot.tobytes()], pa.binary())], ["bucket", "keys"])
+
+
+def _groups(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of the keys of a bucket that several classes share: all pairs for few classes, else the key's rows."""
+        rows = np.frombuffer(b"".join(table.column("keys").to_pylist()), _KEY)
+        if table.column("bucket")[0].as_py() >= buckets:
+            return _shared(np.zeros((0, 2), np.int64), rows)
+        order = np.argsort(rows["key"], kind="stable")
+        key = rows["key"][order]
+        same = key[1:] == key[:-1]
+        rows = rows[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(rows) else rows
+        size = _sizes(rows)
+        many = rows[np.repeat(size > FEW, size)]
+        rows = rows[np.repeat(size <= FEW, size)]
+        rows = rows[np.lexsort((rows["cls"], rows["key"]))]
+        if len(rows):
+            rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])))]
+        size = _sizes(rows)
+        first = np.cumsum(size) - size
+        a, b = [], []
+        for k in range(2, FEW + 1):
+            at = first[size == k]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    a.append(rows["cls"][at + i])
+                    b.append(rows["cls"][at + j])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
+        return _shared(pairs, many)
+
+    return run
+
+
+def _sizes(rows: np.ndarray) -> np.ndarray:
+    """The lengths of the runs of one key."""
     first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))) if len(rows) else np.zeros(0, int)
-    size = np.diff(np.concatenate((first, [len(rows)])))
-    a, b = [], []
-    for k in range(2, FEW + 1):
-        at = first[size == k]
-        for i in range(k):
-            for j in range(i + 1, k):
-                a.append(rows["cls"][at + i])
-                b.append(rows["cls"][at + j])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    many = rows[np.repeat(size > FEW, size)]
+    return np.diff(np.concatenate((first, [len(rows)])))
+
+
+def _shared(pairs: np.ndarray, many: np.ndarray) -> pa.Table:
     zeros = np.zeros(len(pairs), np.int64)
     return pa.table(
         {
@@ -166,8 +201,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_pairs(sketches: list[bytes], sizes: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row pairs (one of ``left``, one of ``right``) of different roots whose sizes and sketches allow a link."""
+def near_rows(sketches: list[bytes], sizes: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, other rows) of ``left`` and ``right``, across, of different roots whose sizes and sketches allow a link.
+
+    ``roots`` is read anew for each row, so the caller may join roots as it goes.
+    """
     lengths = np.array([len(x) for x in sketches])
     matrix = {n: np.frombuffer(b"".join(x for x in sketches if len(x) == n), U).reshape(-1, n // 8) for n in np.unique(lengths).tolist()}
     place = np.zeros(len(lengths), np.int64)
@@ -178,30 +216,85 @@ def near_pairs(sketches: list[bytes], sizes: np.ndarray, roots: np.ndarray, left
             if n not in (m, 2 * m):  # farther sizes can't link
                 continue
             folded = others if n == m else others[:, : m // 8] ^ others[:, m // 8 :]
-            at_a, at_b = left[lengths[left] == m], right[lengths[right] == n]
-            if n != m and left is not right:
-                at_a, at_b = np.concatenate((at_a, right[lengths[right] == m])), np.concatenate((at_b, left[lengths[left] == n]))
-            theirs = folded[place[at_b]]
-            for i in at_a.tolist():
-                gap = np.bitwise_count(theirs ^ rows[place[i]]).sum(axis=1, dtype=np.int64)
-                fit = (7 * gap <= sizes[i] + sizes[at_b]) & (roots[at_b] != roots[i]) & (4 * np.minimum(sizes[i], sizes[at_b]) >= 3 * np.maximum(sizes[i], sizes[at_b]))
-                for j in at_b[fit].tolist():
-                    yield i, j
-
-
-def _compared(table: pa.Table) -> pa.Table:
-    """Near pairs of different components of each key of the group, once each."""
-    key, tile, cls, n, root = (table.column(c).to_numpy() for c in ("key", "tile", "cls", "n", "root"))
+            ways = [(left, right)] if n == m or left is right else [(left, right), (right, left)]
+            for ours, theirs in ways:
+                at_a, at_b = ours[lengths[ours] == m], theirs[lengths[theirs] == n]
+                for i in at_a.tolist():
+                    near = at_b[(roots[at_b] != roots[i]) & (4 * np.minimum(sizes[i], sizes[at_b]) >= 3 * np.maximum(sizes[i], sizes[at_b]))]
+                    if len(near):
+                        gap = np.bitwise_count(folded[place[near]] ^ rows[place[i]]).sum(axis=1, dtype=np.int64)
+                        near = near[7 * gap <= sizes[i] + sizes[near]]
+                    if len(near):
+                        yield i, near
+
+
+def _tiles(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, those of the one tile, those of the other) for each key of a group."""
+    key, tile = table.column("key").to_numpy(), table.column("tile").to_numpy()
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    sketches = table.column("sketch").to_pylist()
-    found: set[tuple[int, int]] = set()
     order = np.argsort(key, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         left, right = np.flatnonzero(tile[rows] == lo), np.flatnonzero(tile[rows] == hi)
-        for i, j in near_pairs([sketches[x] for x in rows.tolist()], n[rows], root[rows], left, left if lo == hi else right):
-            a, b = int(cls[rows[i]]), int(cls[rows[j]])
-            found.add((min(a, b), max(a, b)))
-    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        yield rows, left, left if lo == hi else right
+
+
+def _pairs(pairs: list[tuple[int, int]], names: str = "ab") -> pa.Table:
+    return pa.table({names[0]: pa.array([x[0] for x in pairs], pa.int64()), names[1]: pa.array([x[1] for x in pairs], pa.int64())})
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """Near pairs that join the group's components to as few as they allow: fewer pairs than rows."""
+    cls, n, sketches = table.column("cls").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist()
+    roots = table.column("root").to_numpy().copy()
+    found: list[tuple[int, int]] = []
+    for rows, left, right in _tiles(table):
+        own = roots[rows]
+        for i, near in near_rows([sketches[x] for x in rows.tolist()], n[rows], own, left, right):
+            other, at = np.unique(own[near], return_index=True)
+            found += [(min(a, b), max(a, b)) for a, b in ((int(cls[rows[i]]), int(cls[rows[j]])) for j in near[at].tolist())]
+            mine = own[i]
+            roots[np.isin(roots, other)] = mine
+            own[np.isin(own, other)] = mine
+    return _pairs(found)
+
+
+def _doubtful(table: pa.Table) -> pa.Table:
+    """Near pairs (a, b) of different components, or instead, in tiles with many, their rows with b null."""
+    cls, n, root, sketches = table.column("cls").to_numpy(), table.column("n").to_numpy(), table.column("root").to_numpy(), table.column("sketch").to_pylist()
+    pairs: set[tuple[int, int]] = set()
+    hit = np.zeros(table.num_rows, bool)
+    for rows, left, right in _tiles(table):
+        own, doubted, few = set(), np.zeros(len(rows), bool), True
+        for i, near in near_rows([sketches[x] for x in rows.tolist()], n[rows], root[rows], left, right):
+            doubted[i] = True
+            doubted[near] = True
+            few = few and len(own) <= len(rows)
+            if few:
+                own.update((min(a, b), max(a, b)) for a, b in ((int(cls[rows[i]]), int(cls[rows[j]])) for j in near[: len(rows) + 1].tolist()))
+        if few and 2 * len(own) <= len(rows):
+            pairs |= own
+        else:
+            hit[rows[doubted]] = True
+    rows = table.filter(pa.array(hit)).select(["key", "cls", "root", "n", "sketch", "tile", "lo", "hi"])
+    made = {name: pa.nulls(len(pairs), rows.schema.field(name).type) for name in rows.schema.names}
+    made |= {"cls": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())}
+    return pa.concat_tables([pa.table(made), rows.append_column("b", pa.nulls(rows.num_rows, pa.int64()))])
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """Links of the group that join components, from the shingle sets themselves."""
+    cls, n, sketches, sets = table.column("cls").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist(), table.column("shingles").combine_chunks()
+    roots = table.column("root").to_numpy().copy()
+    found: list[tuple[int, int]] = []
+    for rows, left, right in _tiles(table):
+        own = roots[rows]
+        for i, near in near_rows([sketches[x] for x in rows.tolist()], n[rows], own, left, right):
+            for j in near.tolist():
+                if own[i] != own[j] and linked(sets[int(rows[i])], sets[int(rows[j])]):
+                    found.append((int(cls[rows[i]]), int(cls[rows[j]])))
+                    roots[roots == own[j]] = own[i]
+                    own[own == own[j]] = own[i]
+    return _pairs(found, "uv")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,29 +303,50 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["cls", "shingles"])
 
 
+def linked(x: pa.Scalar, y: pa.Scalar) -> bool:
+    """Whether 4 * intersection >= 3 * union of two packed sets."""
+    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 4 * both >= 3 * (len(x) + len(y) - both)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with 4 * intersection >= 3 * union, from the sets themselves."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(4 * both >= 3 * (len(x) + len(y) - both))
+        keep = [linked(x, y) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingles(docs: DataFrame, wanted: DataFrame, classes: DataFrame, path: str) -> DataFrame:
+    """(cls, shingles) of the classes in ``wanted`` (cls), from the text of one document each."""
+    held = staged(wanted.join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("_rep")), path)
+    texts = docs.join(small_side(held), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    return texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"])
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, path: str) -> DataFrame:
     """Those of the class pairs (a, b) that are links."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
     near = staged(near.mapInArrow(_near, "a long, b long"), f"{path}/near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("_rep"))
-    texts = docs.join(small_side(wanted), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"])
+    sets = _shingles(docs, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, f"{path}/wanted")
     both = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     return staged(both.select("a", "b", "x", "y").mapInArrow(_linked, "u long, v long"), f"{path}/links")
 
 
+def _mixed(many: DataFrame, roots: DataFrame, classes: DataFrame, buckets: int, path: str) -> DataFrame | None:
+    """The rows of keys whose documents are in several components, dealt to each pair of tiles that they are in, if any."""
+    rooted = many.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "cfg", F.coalesce("root", "cls").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), F.first("cfg").alias("cfg")).filter("least <> most")
+    # A set of band c has fewer than 2 ** (c + 1) shingles.
+    tiles = F.ceil(F.col("size") * F.greatest(F.lit(1.0 / TILE), F.pow(F.lit(2.0), F.col("cfg") % 64 + 1) / TILE_SHINGLES)).cast("int")
+    rest = rooted.select("key", "cls", "root").join(several.select("key", tiles.alias("tiles")), "key").join(classes.select("cls", "n", "sketch"), "cls")
+    rest = staged(rest, path)
+    if rest.isEmpty():
+        return None
+    dealt = rest.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select("key", "cls", "root", "n", "sketch", "tile", F.pmod("key", F.lit(buckets)).alias("bucket"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``, linked at Jaccard >= 0.75 on 5-word shingles.
 
@@ -245,14 +359,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     profiles = staged(docs.mapInArrow(_profiles, "doc_id long, n long, cls long, sketch binary"), f"{path}/profiles")
     classes = profiles.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    classes = staged(classes, f"{path}/classes")
 
     buckets = 4 * shuffle_partitions(spark)
-    found = docs.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary").filter("length(keys) > 0").groupBy("bucket").applyInArrow(_groups, "key long, a long, b long, cfg int, spare int")
+    found = docs.select("text").mapInArrow(_keys(buckets), "bucket long, keys binary").filter("length(keys) > 0").groupBy("bucket").applyInArrow(_groups(buckets), "key long, a long, b long, cfg int, spare int")
     found = staged(found, f"{path}/found")
     many = found.filter("cfg >= 0").select("key", F.col("a").alias("cls"), "cfg", "spare")
     size = many.groupBy("key").agg(F.count("*").alias("size"))
+    # Classes of several tasks repeat: their rows have one rank and are one row after that.
     hottest = W.partitionBy("cls", "cfg").orderBy(F.desc("size"), "key")
-    many = staged(many.join(size, "key").withColumn("nth", F.row_number().over(hottest)).filter("nth > spare").select("key", "cls"), f"{path}/many")
+    many = many.join(size, "key").withColumn("nth", F.dense_rank().over(hottest)).filter("nth > spare").select("key", "cls", "cfg").distinct()
+    many = staged(many, f"{path}/many")
     draw = F.struct(F.xxhash64("cls", F.pmod("key", F.lit(HEADS))), F.col("cls").alias("cls"))
     heads = many.groupBy("key").agg(F.min(draw)["cls"].alias("head"))
     stars = many.join(heads, "key").filter("head <> cls").select(F.least("head", "cls").alias("a"), F.greatest("head", "cls").alias("b"))
@@ -260,15 +377,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     links = _verified(docs, pairs, classes, f"{path}/first")
     roots = components(links, f"{path}/first")
 
-    rooted = many.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
-    mixed = mixed.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    rest = staged(rooted.join(mixed, "key").select("key", "cls", "root", "tiles").join(classes.select("cls", "n", "sketch"), "cls"), f"{path}/rest")
-    if not rest.isEmpty():
-        dealt = rest.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        dealt = dealt.select("key", "cls", "root", "n", "sketch", "tile", F.pmod("key", F.lit(buckets)).alias("bucket"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-        cross = dealt.groupBy("bucket", "lo", "hi").applyInArrow(_compared, "a long, b long").distinct()
-        roots = components(links.unionByName(_verified(docs, cross, classes, f"{path}/second")), f"{path}/second")
+    few = _mixed(many.filter(F.pmod(F.xxhash64("key"), F.lit(EVERY)) == 0), roots, classes, buckets, f"{path}/few")
+    if few:
+        more = _verified(docs, few.groupBy("bucket", "lo", "hi").applyInArrow(_forest, "a long, b long").distinct(), classes, f"{path}/forest")
+        links = links.unionByName(more)
+        roots = components(links, f"{path}/forest")
+    mixed = _mixed(many, roots, classes, buckets, f"{path}/mixed")
+    if mixed:
+        shape = "key long, cls long, root long, n long, sketch binary, tile int, lo int, hi int, b long"
+        doubtful = staged(mixed.groupBy("bucket", "lo", "hi").applyInArrow(_doubtful, shape), f"{path}/doubtful")
+        more = _verified(docs, doubtful.filter("b is not null").select(F.col("cls").alias("a"), "b").distinct(), classes, f"{path}/pairs")
+        crowded = doubtful.filter("b is null").drop("b")
+        if not crowded.isEmpty():
+            sets = _shingles(docs, crowded.select("cls").distinct(), classes, f"{path}/crowded")
+            more = more.unionByName(staged(crowded.join(sets, "cls").groupBy("key", "lo", "hi").applyInArrow(_settled, "u long, v long"), f"{path}/settled"))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more), f"{path}/last")
 
     grouped = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
