@@ -131,9 +131,9 @@ def test_decontamination_finds_items_and_other_values(spark):
     docs = spark.createDataFrame([(k, v, 0) for k, v in texts.items()] + [(1, texts[1], 0), (None, texts[1], 0)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
-    assert found == {(1, 2), (2, 1), (4, 3), (9, 2)}
+    assert found == {(1, 2), (2, 1), (4, 3), (8, 1), (9, 2)}
     left = sorted(r.doc_id for r in decontamination.without_benchmark(docs, bench).filter("doc_id is not null").collect())
-    assert left == [3, 5, 6, 7, 8]
+    assert left == [3, 5, 6, 7]
     assert decontamination.contaminated(corpus.nothing(spark).drop("rank"), bench).collect() == []
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
 
@@ -152,6 +152,21 @@ def test_decontamination_adds_windows_around_inserted_and_deleted_words(spark):
     assert found == {0: (23, 30), 1: (22, 30), 2: (16, 30), 4: (12, 30)}
 
 
+def test_decontamination_discards_windows_that_contradict_the_rest(spark):
+    item = "the old ferry carries Maria and then carries Pedro across while we see Maria again with all of her 40 bags near the quay and later Maria goes home by bus"
+    same = item.replace("Maria", "Anna").replace("Pedro", "Juan").replace("40", "17")
+    once = same.replace("later Anna", "later Clara")
+    runs = item.replace("Maria", "Ana Lucia Gomez").replace("40", "1 000")
+    never = "the old ferry carries Anna and then carries Juan across while we see Clara again with all of her 40 bags"
+    docs = spark.createDataFrame(list(enumerate([item, same, once, runs, never])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: (r.matched, r.windows) for r in decontamination.contaminated(docs, bench, covered=0.1).collect()}
+    n = len(item.split()) - 7
+    assert found[0] == found[1] == found[3] == (n, n)
+    assert 0 < found[2][0] < n and 0 < found[4][0] < n / 2
+    assert found[2][0] == sum("Maria" not in " ".join(item.split()[i : i + 8]) or item.split()[i : i + 8].index("Maria") + i < 20 for i in range(n))
+
+
 def test_decontamination_stays_in_sql(spark):
     docs, bench = corpus.documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontamination.contaminated(docs, bench)._jdf.queryExecution().toString()

@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 A text becomes words and numbers. Numbers, units after a number and capitalised names inside a sentence become typed
-placeholders. Windows of template words are hashed and joined with those of the benchmark; so a question with other
-numbers or names still matches. Then the slots are held against each other: along one alignment of a document with an
-item, each of the item's values must stand for one value of the document, and the other way round.
+placeholders; names or numbers that follow each other have one, whose value is the first. Windows of template words are
+hashed and joined with those of the benchmark; so a question with other numbers or names still matches. Then the slots are
+held against each other: along one alignment of a document with an item, a value of the item stands for the value of the
+document that it meets most often, and windows that say otherwise don't count.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import small_side
+from .work import folder, small_side, staged
 
 #: Words in a window, and the share of an item's windows that must match in one alignment.
 WINDOW, COVERED = 8, 0.4
@@ -56,6 +57,13 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
+def canonical(texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` with ``shape``, its template, and ``raw``, the words that it stands for: both without repeated placeholders."""
+    first = lambda i: ~(F.get("shape", i).isin(NAME, NUMBER) & (F.get("shape", i) == F.coalesce(F.get("shape", i - 1), F.lit(""))))
+    typed = texts.withColumn("raw", words(text)).withColumn("shape", template(F.col("raw")))
+    return typed.withColumns({c: F.filter(c, lambda _, i: first(i)) for c in ("shape", "raw")})
+
+
 def _hashes(hashed: Column, length: int) -> Column:
     """The hash of each window of ``length`` hashed words, in order."""
     at = F.when(F.size(hashed) >= length, F.sequence(F.lit(1), F.size(hashed) - (length - 1))).otherwise(F.array().cast("array<int>"))
@@ -70,7 +78,7 @@ def _slots(raw: Column, shape: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, length, ipos, windows, hash, literal, slots) for each window; a shorter item is one window of its length."""
-    items = benchmark.select("item_id", words("text").alias("raw")).filter(F.size("raw") > 0).withColumn("shape", template(F.col("raw")))
+    items = canonical(benchmark.select("item_id", "text"), "text").drop("text").filter(F.size("raw") > 0)
     items = items.withColumn("length", F.least(F.size("raw"), F.lit(window))).withColumn("windows", F.size("raw") - F.col("length") + 1)
     items = items.withColumn("hashed", F.transform("shape", lambda x: F.xxhash64(x))).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.col("windows"))))
     part = lambda c: F.slice(c, F.col("ipos"), F.col("length"))
@@ -78,31 +86,40 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", "length", "ipos", "windows", F.xxhash64(part("hashed")).alias("hash"), slots.alias("slots")).withColumn("literal", F.col("length") - F.size("slots"))
 
 
+def _judged(aligned: DataFrame) -> DataFrame:
+    """``aligned`` with only the windows in ``part`` whose pairs give each value of the item its most frequent counterpart."""
+    counted = aligned.withColumn("all", F.flatten(F.transform("part", lambda x: x["pairs"])))
+    counted = counted.withColumn("each", F.transform(F.array_distinct("all"), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(F.filter("all", lambda y: y == p)).alias("n"))))
+    more = lambda p: F.exists("each", lambda q: (q["i"] == p["i"]) & ((q["n"] > p["n"]) | ((q["n"] == p["n"]) & (q["d"] < p["d"]))))
+    counted = counted.withColumn("bad", F.transform(F.filter("each", more), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    return counted.withColumn("part", F.filter("part", lambda x: ~F.arrays_overlap(x["pairs"], F.col("bad")))).drop("all", "each", "bad")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, covered: float = COVERED, drift: int = DRIFT) -> DataFrame:
     """(doc_id, item_id, matched, windows): documents that hold a benchmark item, as it is or with other slot values.
 
     One row for each document and item of which ``covered`` of the windows match in one alignment, with the most windows
     matched. An alignment adds the windows of shifts at most ``drift`` words apart, so words put in or left out cost only the
-    windows that hold them. A window with slots matches if values map one to one along the alignment; one with fewer literal words than
-    slots only if its values are equal. Windows run over whole texts. Null, empty and wordless texts and items match
-    nothing; rows with a null id are left out of the result; rows that repeat an id count as one document. The benchmark
-    is broadcast only after a count of its windows, and shuffled beyond the bound.
+    windows that hold them. A window with slots matches if its values are those that the item's values mostly stand for
+    along the alignment, the smallest of equally frequent ones; different values of the item may stand for one. A window
+    with fewer literal words than slots matches only if its values are equal. Windows run over whole texts. Null, empty and
+    wordless texts and items match nothing; rows with a null id are left out of the result; rows that repeat an id count
+    as one document. The benchmark is broadcast only after a count of its windows, and shuffled beyond the bound.
     """
+    path = folder(docs.sparkSession)
     windows = benchmark_windows(benchmark, window)
     lengths = sorted({window, *(r.length for r in windows.filter(F.col("length") < window).select("length").distinct().collect())})  # below ``window`` values
-    # The array of hashes is made before it is exploded: the rows then carry the id, place and hash only.
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words(text).alias("raw")).filter(F.col("doc_id").isNotNull())
-    rows = rows.select("doc_id", F.transform(template(F.col("raw")), lambda x: F.xxhash64(x)).alias("hashed"))
-    parts = [rows.select("doc_id", F.lit(n).alias("length"), F.posexplode(_hashes(F.col("hashed"), n)).alias("at", "hash")) for n in lengths]
-    made = parts[0]
-    for part in parts[1:]:
-        made = made.unionByName(part)
-    found = made.join(small_side(windows), ["length", "hash"]).select("doc_id", "item_id", "length", "windows", "ipos", (F.col("at") + 1).alias("dpos"), "slots", "literal").distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
+    # The arrays of hashes are made before they are exploded: the rows then carry the id, length, place and hash only.
+    rows = canonical(texts, "text").select("doc_id", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashed"))
+    rows = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("length"), _hashes(F.col("hashed"), n).alias("hashes")) for n in lengths))).alias("cut"))
+    rows = rows.select("doc_id", F.col("cut.length").alias("length"), F.posexplode("cut.hashes").alias("at", "hash"))
+    found = rows.join(small_side(windows), ["length", "hash"]).select("doc_id", "item_id", "length", "windows", "ipos", (F.col("at") + 1).alias("dpos"), "slots", "literal").distinct()
+    found = staged(found, f"{path}/found")
 
     exact = found.filter(F.size("slots") == 0).select("doc_id", "item_id", "windows", "ipos", "dpos", F.array().cast("array<struct<i:string,d:string>>").alias("pairs"))
     slotted = found.filter(F.size("slots") > 0)
-    again = docs.select(F.col(doc_id).alias("doc_id"), words(text).alias("raw")).join(small_side(slotted.select("doc_id").distinct()), "doc_id", "left_semi")
-    again = again.withColumn("shape", template(F.col("raw"))).join(slotted, "doc_id")
+    again = canonical(texts.join(small_side(slotted.select("doc_id").distinct()), "doc_id", "left_semi"), "text").drop("text").join(slotted, "doc_id")
     part = lambda c: F.slice(c, F.col("dpos"), F.col("length"))
     again = again.withColumn("own", _slots(part("raw"), part("shape"))).filter(F.size("own") == F.size("slots"))
     again = again.filter((F.col("literal") >= F.size("slots")) | (F.col("own") == F.col("slots")))
@@ -111,16 +128,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     # An alignment holds the windows of neighbouring shifts; an item's length bounds its values, so these sets are small.
     aligned = exact.unionByName(again).groupBy("doc_id", "item_id", "windows", (F.col("dpos") - F.col("ipos")).cast("long").alias("shift")).agg(F.collect_set(F.struct("ipos", "pairs")).alias("part"))
     near = W.partitionBy("doc_id", "item_id", "windows").orderBy("shift")
-    one_to_one = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k]))) == F.size("pairs")
-    judged = lambda df: df.withColumn("pairs", F.array_distinct(F.flatten(F.transform("part", lambda x: x["pairs"])))).filter(one_to_one("i") & one_to_one("d"))
     # A shift whose values hold by themselves counts also where a neighbour's contradict them.
     chained = aligned.withColumn("part", F.flatten(F.collect_list("part").over(near.rangeBetween(0, drift))))
-    alone = judged(aligned).unionByName(judged(chained))
-    hit = alone.withColumn("matched", F.size(F.array_distinct(F.transform("part", lambda x: x["ipos"]))).cast("long")).filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
+    judged = _judged(aligned).unionByName(_judged(chained))
+    hit = judged.withColumn("matched", F.size(F.array_distinct(F.transform("part", lambda x: x["ipos"]))).cast("long")).filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
     return hit.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").cast("long").alias("windows"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the contaminated ones; rows with a null id stay."""
-    bad = small_side(contaminated(docs, benchmark, doc_id=doc_id).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+    bad = staged(contaminated(docs, benchmark, doc_id=doc_id).select(F.col("doc_id").alias("bad")).distinct(), f"{folder(docs.sparkSession)}/bad")
+    bad = small_side(bad)
+    return docs.join(bad, docs[doc_id] == bad["bad"], "left_anti")
