@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import folder, small_side, staged
+from .work import folder, private, small_side, staged
 
 #: A common block of fewer bytes stays.
 LEAST = 20
@@ -217,11 +217,14 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     cut = _cut(held, classes, least, path)
     cut = shapes.join(cut, "shape").select("node", F.sort_array(F.transform(F.filter("since", lambda x: x["first"] < F.col("order")), lambda x: F.element_at("places", x["at"] + 1))).alias("gone")).filter(F.size("gone") > 0)
     first = texts.select("node", F.col("order.id").alias("first"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("bytes"))
-    known = staged(first.join(cut, "node", "left").withColumnRenamed("node", "_node").withColumnRenamed("gone", "_gone").withColumnRenamed("first", "_first").withColumnRenamed("bytes", "_bytes"), f"{path}/cut")
-
-    out = docs.withColumn("_node", node).join(known, "_node", "left").withColumn("_lines", _lines(F.col(text)))
-    copy = ~F.col(doc_id).cast("long").eqNullSafe(F.col("_first")) & (F.col("_bytes") >= least)
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    out = out.withColumn("_removed", F.when(copy, every).otherwise(F.coalesce("_gone", F.array().cast("array<int>"))))
-    kept = F.when(F.size("_removed") == 0, F.coalesce(F.col(text).cast("string"), F.lit(""))).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_removed", i)), "\n"))
-    return out.withColumn("_n_lines", F.size("_lines")).withColumn("_kept", kept).drop("_node", "_first", "_bytes", "_gone", "_lines")
+    docs = docs.drop(*(c for c in ("_n_lines", "_removed", "_kept") if c not in (text, doc_id)))
+    name, gone, least_id, size, listed = private(docs, "node", "gone", "first", "bytes", "lines")
+    known = first.join(cut, "node", "left").select(F.col("node").alias(name), F.col("gone").alias(gone), F.col("first").alias(least_id), F.col("bytes").alias(size))
+    known = staged(known, f"{path}/cut")
+
+    out = docs.withColumn(name, node).join(known, name, "left").withColumn(listed, _lines(F.col(text)))
+    copy = ~F.col(doc_id).cast("long").eqNullSafe(F.col(least_id)) & (F.col(size) >= least)
+    every = F.sequence(F.lit(0), F.size(listed) - 1)
+    out = out.withColumn("_removed", F.when(copy, every).otherwise(F.coalesce(gone, F.array().cast("array<int>"))))
+    kept = F.when(F.size("_removed") == 0, F.coalesce(F.col(text).cast("string"), F.lit(""))).otherwise(F.array_join(F.filter(listed, lambda x, i: ~F.array_contains("_removed", i)), "\n"))
+    return out.withColumn("_n_lines", F.size(listed)).withColumn("_kept", kept).drop(name, least_id, size, gone, listed)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .work import private
+
 #: Sources in order of their names take these weights in turn.
 WEIGHTS = (5, 2, 1)
 #: The mix's share of all words, and the most of a source's words and of a document's that it takes.
@@ -44,32 +46,35 @@ def mixture(docs: DataFrame, size: str, source: str = "source", doc_id: str = "d
 
     The prefix sum is in two steps: counts of (source, size class, hash salt) and their running totals, then the order
     within each of those, which stay small for a source of any size. Null is a source of its own, last; null sizes
-    count as 0, and a source without words has target 0. Repeated rows count one by one; an empty table gives none.
+    count as 0, and a source without words has target 0. Repeated rows count one by one; rows of one id and size are
+    ordered by a hash of all columns. An empty table gives none. Columns named like those added are replaced.
     """
-    rows = docs.withColumns({"_size": F.coalesce(F.col(size).cast("long"), F.lit(0)), "_source": F.col(source).cast("string")})
+    docs = docs.drop(*(c for c in ("_source_size", "_target", "_copies") if c not in (size, source, doc_id)))
+    name, key, kind, salt, digest, tied, before, rank = private(docs, "name", "key", "class", "salt", "digest", "tied", "before", "rank")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"_size": F.coalesce(F.col(size).cast("long"), F.lit(0)), name: F.col(source).cast("string"), tied: F.xxhash64(*hashed)})
     # The length in binary, then the next three digits: classes of about a tenth of their size.
     size_class = F.expr("CASE WHEN _size > 0 THEN length(bin(_size)) * 8 + shiftright(_size * 8, length(bin(_size)) - 1) ELSE 0 END").cast("long")
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = rows.withColumns({"_key": F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")), "_class": size_class, "_digest": digest})
-    rows = rows.withColumn("_salt", F.substring("_digest", 1, 3))
-    cells = rows.groupBy("_key", "_source", "_class", "_salt").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words"))
-    sources = targets(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, most)
-    sources = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    running = F.sum("_rows").over(W.partitionBy("_key").orderBy("_class", "_salt")) - F.col("_rows")
-    cells = cells.withColumn("_before", running).select("_key", "_class", "_salt", "_before").join(sources, "_key")
-    placed = rows.join(cells, ["_key", "_class", "_salt"])
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_key", "_class", "_salt").orderBy("_size", "_digest"))
+    rows = rows.withColumns({key: F.coalesce(F.concat(F.lit("s"), name), F.lit("n")), kind: size_class, digest: F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))})
+    rows = rows.withColumn(salt, F.substring(digest, 1, 3))
+    cells = rows.groupBy(key, name, kind, salt).agg(F.count("*").alias("n"), F.sum("_size").alias("words"))
+    sources = targets(cells.groupBy(F.col(name).alias("source")).agg(F.sum("words").alias("source_size")), weights, share, most)
+    sources = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias(key), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    running = F.sum("n").over(W.partitionBy(key).orderBy(kind, salt)) - F.col("n")
+    placed = rows.join(cells.select(key, kind, salt, running.alias(before)).join(sources, key), [key, kind, salt])
+    place = F.col(before) + F.row_number().over(W.partitionBy(key, kind, salt).orderBy("_size", digest, tied))
     expected = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_key")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    copies = F.floor(F.col("_rank") * expected + offset) - F.floor((F.col("_rank") - 1) * expected + offset)
-    out = placed.withColumn("_rank", rank).withColumn("_copies", F.least(copies, F.ceil(F.lit(most))).cast("long"))
-    return out.drop("_key", "_class", "_salt", "_before", "_rank", "_digest", "_source")
+    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    copies = F.floor(F.col(rank) * expected + offset) - F.floor((F.col(rank) - 1) * expected + offset)
+    out = placed.withColumn(rank, place).withColumn("_copies", F.least(copies, F.ceil(F.lit(most))).cast("long"))
+    return out.drop(name, key, kind, salt, digest, tied, before, rank)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """The rows of a ``mixture`` as often as taken, without its columns."""
-    out = mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.drop("_size", "_source_size", "_target", "_copies", "_copy")
+    (copy,) = private(mixed, "copy")
+    out = mixed.filter("_copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return out.drop("_size", "_source_size", "_target", "_copies", copy)
 
 
 #: The rows of the query op2 in DuckDB.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkit import U, binary_chunks, mix, powers, prefix_hash, word_spans
-from .work import small_side, text_bytes
+from .work import private, small_side, text_bytes
 
 #: Labelled rows that the model is fitted on, of each label: the bound of what is collected and broadcast.
 SAMPLE = 1500
@@ -127,12 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit_arrays(counts, rows.column("label").to_numpy())
 
 
-def _scored(model):
+def _scored(model, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores: list[np.ndarray] = []
             block: list[np.ndarray] = []
-            for _, counts in term_counts(batch.column("_text")):
+            for _, counts in term_counts(batch.column(body)):
                 block.append(counts)
                 if len(block) == BLOCK:
                     scores.append(model.value.scores(np.stack(block)))
@@ -140,7 +140,8 @@ def _scored(model):
             if block:
                 scores.append(model.value.scores(np.stack(block)))
             score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(np.clip(score, 0.0, 1.0))], [*(c for c in batch.schema.names if c != "_text"), "_score"])
+            names = [c for c in batch.schema.names if c != body]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.clip(score, 0.0, 1.0))], [*names, "_score"])
 
     return run
 
@@ -149,9 +150,11 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     """``docs`` with _score, from the whole text of each row alone.
 
     Empty and null texts score 0.5, as does every row if no labelled row is to be had. Repeated rows score alike. Labels
-    other than 0 and 1 are ignored; of two labels for an id the larger counts.
+    other than 0 and 1 are ignored; of two labels for an id the larger counts. A column _score is replaced.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels, sample))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != "_score"), T.StructField("_score", T.DoubleType())])
-    return docs.drop("_score").withColumn("_text", text_bytes(text)).mapInArrow(_scored(model), schema)
+    docs = docs.drop("_score")
+    (body,) = private(docs, "body")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_score", T.DoubleType())])
+    return docs.withColumn(body, text_bytes(text)).mapInArrow(_scored(model, body), schema)

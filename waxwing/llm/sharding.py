@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import text_bytes
+from .work import private, text_bytes
 
 #: A region has so many racks, a rack so many shards. Shard n is in rack n // SHARDS of region n // (RACKS * SHARDS).
 RACKS, SHARDS = 2, 5
@@ -64,11 +64,12 @@ def sharded(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str =
     """
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     body = text_bytes(text)
+    order, cell, before = private(docs, "order", "cell", "before")
     rows = docs.withColumns({"_size": F.octet_length(body).cast("long") + 16, "_crc32": F.crc32(body), "_shard": placed(key, tree(shards), seed), "_grown_shard": placed(key, tree(shards + 1), seed)})
-    rows = rows.withColumn("_order", F.md5(F.concat_ws(":", key, F.col("_crc32").cast("string"))))
-    rows = rows.withColumn("_cell", F.substring("_order", 1, 3))
-    cells = rows.groupBy("_shard", "_cell").agg(F.count("*").alias("_rows"))
-    cells = cells.select("_shard", "_cell", (F.sum("_rows").over(W.partitionBy("_shard").orderBy("_cell")) - F.col("_rows")).alias("_before"))
-    out = rows.join(cells, ["_shard", "_cell"])
-    slot = F.col("_before") + F.row_number().over(W.partitionBy("_shard", "_cell").orderBy("_order", "_size")) - 1
-    return out.withColumn("_slot", slot.cast("long")).drop("_order", "_cell", "_before")
+    rows = rows.withColumn(order, F.md5(F.concat_ws(":", key, F.col("_crc32").cast("string"))))
+    rows = rows.withColumn(cell, F.substring(order, 1, 3))
+    cells = rows.groupBy("_shard", cell).agg(F.count("*").alias("n"))
+    cells = cells.select("_shard", cell, (F.sum("n").over(W.partitionBy("_shard").orderBy(cell)) - F.col("n")).alias(before))
+    out = rows.join(cells, ["_shard", cell])
+    slot = F.col(before) + F.row_number().over(W.partitionBy("_shard", cell).orderBy(order, "_size")) - 1
+    return out.withColumn("_slot", slot.cast("long")).drop(order, cell, before)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkit import U, binary_chunks, mix, powers, prefix_hash
-from .work import folder, shuffle_partitions, small_side, staged, text_bytes
+from .work import folder, private, shuffle_partitions, small_side, staged, text_bytes
 
 SPAN, GRAM = 200, 64
 #: Segments in a shard of suffixes, and bytes of a text that are looked at at once (with SPAN - 1 of overlap).
@@ -300,19 +300,22 @@ def _packed(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(spans[first, 0]), "spans": pa.array([x.tobytes() for x in parts], pa.binary())})
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, count = [], []
-        for text, packed in zip(batch.column("_body"), batch.column("_spans"), strict=True):
-            data, at, parts = memoryview(text.as_buffer()), 0, []
-            spans = np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2).tolist()
-            for a, b in spans:
-                parts.append(data[at:a])
-                at = b
-            kept.append(b"".join([*parts, data[at:]]))
-            count.append(len(spans))
-        names = [c for c in batch.schema.names if c not in ("_body", "_spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [*names, "_n_spans", "_kept"])
+def _cut(body: str, gone: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, count = [], []
+            for text, packed in zip(batch.column(body), batch.column(gone), strict=True):
+                data, at, parts = memoryview(text.as_buffer()), 0, []
+                spans = np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2).tolist()
+                for a, b in spans:
+                    parts.append(data[at:a])
+                    at = b
+                kept.append(b"".join([*parts, data[at:]]))
+                count.append(len(spans))
+            names = [c for c in batch.schema.names if c not in (body, gone)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [*names, "_n_spans", "_kept"])
+
+    return run
 
 
 def _spans(long_: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
@@ -347,17 +350,19 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows with null ids. Columns of these names are replaced.
     """
     path = folder(docs.sparkSession)
-    docs = docs.withColumn("_body", text_bytes(text)).withColumn("_node", F.when(F.octet_length("_body") >= SPAN, F.xxhash64("_body")))
-    long_ = docs.filter("_node is not null").select(F.col(doc_id).cast("long").alias("id"), F.col("_node").alias("node"), F.col("_body").alias("text"))
+    docs = docs.drop(*(c for c in ("_n_bytes", "_n_removed", "_n_spans", "_kept") if c not in (text, doc_id)))
+    body, name, of, how, gone = private(docs, "body", "node", "of", "how", "spans")
+    docs = docs.withColumn(body, text_bytes(text)).withColumn(name, F.when(F.octet_length(body) >= SPAN, F.xxhash64(body)))
+    long_ = docs.filter(F.col(name).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(name).alias("node"), F.col(body).alias("text"))
     nodes = staged(long_.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")), f"{path}/nodes")
     spans = _spans(long_, nodes, path)
     copies = nodes.filter("copies > 1").select("node")
-    how = copies.withColumn("_how", F.lit(1)).unionByName(spans.join(copies, "node", "left_anti").select("node", F.lit(2).alias("_how")))
-    how = staged(how.withColumnRenamed("node", "_of"), f"{path}/how")
-    split = docs.join(small_side(how), F.col("_node") == F.col("_of"), "left").drop("_of").withColumn("_n_bytes", F.octet_length("_body").cast("long"))
-    gone, zero = F.col("_how").isNotNull(), F.lit(0).cast("long")
-    plain = split.filter("_how is null or _how = 1").withColumn("_n_spans", F.when(gone, 1).otherwise(zero).cast("long")).withColumn("_kept", F.when(gone, F.lit(b"")).otherwise(F.col("_body"))).drop("_body", "_node", "_how")
-    marked = split.filter("_how = 2").drop("_how").join(spans.select(F.col("node").alias("_node"), F.col("spans").alias("_spans")), "_node").drop("_node")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema if f.name not in ("_body", "_spans")]).add("_n_spans", "long").add("_kept", "binary")
-    cut = marked.mapInArrow(_cut, schema)
+    kinds = copies.withColumn("how", F.lit(1)).unionByName(spans.join(copies, "node", "left_anti").select("node", F.lit(2).alias("how")))
+    kinds = staged(kinds.select(F.col("node").alias(of), F.col("how").alias(how)), f"{path}/how")
+    split = docs.join(small_side(kinds), F.col(name) == F.col(of), "left").drop(of).withColumn("_n_bytes", F.octet_length(body).cast("long"))
+    whole, zero = F.col(how).isNotNull(), F.lit(0).cast("long")
+    plain = split.filter(F.coalesce(how, F.lit(1)) == 1).withColumn("_n_spans", F.when(whole, 1).otherwise(zero).cast("long")).withColumn("_kept", F.when(whole, F.lit(b"")).otherwise(F.col(body))).drop(body, name, how)
+    marked = split.filter(F.col(how) == 2).drop(how).join(spans.select(F.col("node").alias(name), F.col("spans").alias(gone)), name).drop(name)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema if f.name not in (body, gone)]).add("_n_spans", "long").add("_kept", "binary")
+    cut = marked.mapInArrow(_cut(body, gone), schema)
     return plain.unionByName(cut).withColumn("_n_removed", F.col("_n_bytes") - F.octet_length("_kept"))
