@@ -8,36 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waxwing.llm import decontamination, jaccard, mixing, quality, sharding
-from waxwing.llm.work import folder, staged
+from waxwing.llm.work import folder, private, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The operator over ``docs``, whose columns that begin with an underscore have other names meanwhile."""
+    ours = [c for c in docs.columns if c.startswith("_")]
+    names = dict(zip(ours, private(docs, *(f"kept{c}" for c in ours)), strict=True))
+    return operator(docs.withColumnsRenamed(names)).withColumnsRenamed({new: old for old, new in names.items()})
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are predicted to be of quality 1."""
-    rated = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rated.filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    """The documents that are predicted to be of quality 1; empty and null texts, which score 0.5, are among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _apart(docs, lambda d: quality.scored(d, labels).filter(F.col("_score") >= quality.THRESHOLD).drop("_score"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; those without words and those with a null id all stay."""
     return jaccard.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item; those with a null id stay."""
     return decontamination.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.emitted(mixing.mixture(docs.withColumn("_words", mixing.word_count()), "_words")).drop("_words")
+    """Each document as often as the mix takes it; a null source is one of its own, and wordless texts count as size 0."""
+
+    def mixed(d: DataFrame) -> DataFrame:
+        (words,) = private(d, "words")
+        return mixing.emitted(mixing.mixture(d.withColumn(words, mixing.word_count()), words)).drop(words)
+
+    return _apart(docs, mixed)
 
 
 def hash_tree_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and their slot in it."""
-    dealt = sharding.sharded(docs)
-    return dealt.select(*docs.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """All rows with their shard and their slot in it, which replace columns of these names; a null id has a shard too."""
+    rest = docs.drop(*(c for c in docs.columns if c.lower() in ("shard", "slot")))
+    return _apart(rest, lambda d: sharding.sharded(d).select(*d.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot")))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -53,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over all documents; each but the last is written and read again as the next one's input."""
+    """The stages in order over all documents; each but the last is written and read again as the next one's input.
+
+    Rows with nulls in any column pass as their stages say; an empty table gives no rows; other columns are kept.
+    """
     path = folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
