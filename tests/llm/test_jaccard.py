@@ -68,11 +68,9 @@ def test_many_near_copies_and_a_common_passage(spark):
     assert Counter(map(tuple, jaccard.jaccard_components(docs).collect())) == brute(rows)
 
 
-@pytest.mark.parametrize("every", [32, 1 << 40])
-def test_a_hot_group_about_the_threshold(spark, monkeypatch, every):
+def test_a_hot_group_about_the_threshold(spark, monkeypatch):
     """500 copies of one text that link to few of the others: its keys are hot, and most near pairs are no links."""
     monkeypatch.setattr(jaccard, "TILE", 50)
-    monkeypatch.setattr(jaccard, "EVERY", every)  # the latter: no key gives a forest
     pick = random.Random(17)
     base = [f"b{pick.randrange(10**6)}" for _ in range(80)]
     rows = []
@@ -87,12 +85,11 @@ def test_a_hot_group_about_the_threshold(spark, monkeypatch, every):
     assert Counter(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, corpus.SCHEMA).repartition(6)).collect())) == wanted
 
 
-def test_forests_propose_fewer_pairs_than_rows():
+def test_tiles_give_fewer_pairs_than_rows():
     pick = np.random.default_rng(4)
     base = pick.integers(0, 1 << 63, 200, dtype=U)
     sets = [np.unique(np.concatenate((base[pick.random(200) < 0.97], pick.integers(0, 1 << 63, 3, dtype=U)))) for _ in range(60)]
     rows = pa.table({"key": [1] * 60 + [2] * 60, "cls": [*range(60)] * 2, "root": [*range(60)] * 2, "n": [len(x) for x in sets] * 2, "sketch": pa.array([jaccard.dense_sketch(x) for x in sets] * 2, pa.binary()), "tile": pa.array([0] * 120, pa.int32()), "lo": pa.array([0] * 120, pa.int32()), "hi": pa.array([0] * 120, pa.int32())})
-    assert jaccard._forest(rows).num_rows == 59
     assert jaccard._doubtful(rows).num_rows == 120 and jaccard._doubtful(rows).column("b").null_count == 120
     for root, pairs in (([0] * 59 + [1], 0), ([0] * 60, 0)):  # one document is near 59 others: crowded; none: nothing
         made = jaccard._doubtful(rows.set_column(2, "root", pa.array(root * 2)))

@@ -14,11 +14,10 @@ do their folds to fewer bits. With Jaccard >= 3/4 the symmetric difference is at
    give their pairs; in the rest each document is paired with a head of the key.
 3. Verification. Sizes, then the Hamming distance of dense folded sketches, then the shingle sets themselves.
 4. Documents of one key that are still in different components are compared by their dense sketches, in tiles of a
-   bounded number of shingles. Over a few of the keys, a tile first proposes a forest, at most one pair for each
-   document, of near pairs of different components; verified, it joins what is large. Then, over all keys, near pairs of
-   different components are verified one by one where they are fewer than half the tile's documents; in other tiles
-   these documents meet once more with their shingle sets, and the tile links them itself. So each pair that shares a key is
-   in one component or has been compared, and no step gives more pairs than documents.
+   bounded number of shingles. Near pairs of different components are verified one by one where they are fewer than half
+   the tile's documents; in other tiles these documents meet once more with their shingle sets, and the tile links them
+   itself, by at most one link for each. So each pair that shares a key is in one component or has been compared, and no
+   step gives more pairs than documents.
 """
 
 from __future__ import annotations
@@ -44,8 +43,6 @@ FEW = 8
 HEADS = 12
 #: Documents and shingles in a tile of a key's comparisons.
 TILE, TILE_SHINGLES = 4096, 1 << 22
-#: Forests are taken over one key in so many.
-EVERY = 32
 _KEY = np.dtype([("key", "u8"), ("cls", "i8"), ("cfg", "u1"), ("spare", "u2")])
 _BAND = 0xD6E8FEB86659FD93
 _BLOCK = U(0xA0761D6478BD642F)
@@ -238,26 +235,6 @@ def _tiles(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield rows, left, left if lo == hi else right
 
 
-def _pairs(pairs: list[tuple[int, int]], names: str = "ab") -> pa.Table:
-    return pa.table({names[0]: pa.array([x[0] for x in pairs], pa.int64()), names[1]: pa.array([x[1] for x in pairs], pa.int64())})
-
-
-def _forest(table: pa.Table) -> pa.Table:
-    """Near pairs that join the group's components to as few as they allow: fewer pairs than rows."""
-    cls, n, sketches = table.column("cls").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist()
-    roots = table.column("root").to_numpy().copy()
-    found: list[tuple[int, int]] = []
-    for rows, left, right in _tiles(table):
-        own = roots[rows]
-        for i, near in near_rows([sketches[x] for x in rows.tolist()], n[rows], own, left, right):
-            other, at = np.unique(own[near], return_index=True)
-            found += [(min(a, b), max(a, b)) for a, b in ((int(cls[rows[i]]), int(cls[rows[j]])) for j in near[at].tolist())]
-            mine = own[i]
-            roots[np.isin(roots, other)] = mine
-            own[np.isin(own, other)] = mine
-    return _pairs(found)
-
-
 def _doubtful(table: pa.Table) -> pa.Table:
     """Near pairs (a, b) of different components, or instead, in tiles with many, their rows with b null."""
     cls, n, root, sketches = table.column("cls").to_numpy(), table.column("n").to_numpy(), table.column("root").to_numpy(), table.column("sketch").to_pylist()
@@ -294,7 +271,7 @@ def _settled(table: pa.Table) -> pa.Table:
                     found.append((int(cls[rows[i]]), int(cls[rows[j]])))
                     roots[roots == own[j]] = own[i]
                     own[own == own[j]] = own[i]
-    return _pairs(found, "uv")
+    return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,11 +354,6 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     links = _verified(docs, pairs, classes, f"{path}/first")
     roots = components(links, f"{path}/first")
 
-    few = _mixed(many.filter(F.pmod(F.xxhash64("key"), F.lit(EVERY)) == 0), roots, classes, buckets, f"{path}/few")
-    if few:
-        more = _verified(docs, few.groupBy("bucket", "lo", "hi").applyInArrow(_forest, "a long, b long").distinct(), classes, f"{path}/forest")
-        links = links.unionByName(more)
-        roots = components(links, f"{path}/forest")
     mixed = _mixed(many, roots, classes, buckets, f"{path}/mixed")
     if mixed:
         shape = "key long, cls long, root long, n long, sketch binary, tile int, lo int, hi int, b long"
