@@ -5,10 +5,11 @@ from __future__ import annotations
 import struct
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from waxwing.functions import music, text
-from waxwing.operators import hierarchy, joins, predicates, sequences, similarity, stores
+from waxwing.operators import hierarchy, joins, predicates, sequences, similarity, staging, stores
 from waxwing.sources import catalog, sinks
 from waxwing.streaming import ingest
 
@@ -112,6 +113,33 @@ def test_tree(spark):
     assert {(r.id, r.allowed) for r in hierarchy.allowed_moves(nodes, moves).collect()} == {("a", False), ("c", True), ("b", False)}
 
 
+def test_trees_of_any_depth_and_cycles(spark):
+    chain = [(f"d{i}", f"D{i}", f"d{i - 1}" if i else "ROOT", 0, 0) for i in range(20)] + [("x", "X", "y", 0, 0), ("y", "Y", "x", 0, 0)]
+    nodes = spark.createDataFrame(chain, "id string, name string, parent_id string, type int, seq long")
+    found = {r.id: (r.depth, r.path) for r in hierarchy.paths(nodes).collect()}
+    assert found == {f"d{i}": (i, "/".join(f"D{j}" for j in range(i + 1))) for i in range(20)}
+    assert {r.id for r in hierarchy.without_subtree(nodes, "d3").collect()} == {"d0", "d1", "d2", "x", "y"}
+    moves = spark.createDataFrame([("d0", "d19"), ("d19", "d0"), ("x", "y")], "id string, new_parent string")
+    assert {(r.id, r.allowed) for r in hierarchy.allowed_moves(nodes, moves).collect()} == {("d0", False), ("d19", True), ("x", False)}
+
+
+def test_numbering_in_order(spark):
+    rows = spark.range(997).selectExpr("(id * 7919) % 997 AS v", "'x' AS place_part_").repartition(5)
+    assert sorted((r.v, r.place) for r in staging.numbered_in_order(rows, ["v"]).collect()) == [(i, i + 1) for i in range(997)]
+    assert staging.numbered_in_order(rows.limit(0), ["v"]).collect() == []
+
+
+def test_merging_playlists(spark):
+    sources = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 8, 1), (2, 9, 2)], "pid int, track_id int, pos int")
+    target = spark.createDataFrame([(7,)], "track_id int")
+    added = joins.merged_playlist(sources, target)
+    assert {(r.track_id, tuple(r["first"])) for r in added.collect()} == {(8, (1, 2)), (9, (2, 2))}
+    merged = target.unionByName(added.filter("track_id = 8").select("track_id"))
+    assert {(r.pid, r.complete) for r in joins.complete_sources(sources, merged).collect()} == {(1, True), (2, False)}
+    with pytest.raises(ValueError, match="no track"):
+        joins.restricted(sources, sources.limit(0), "track_id")
+
+
 def test_stores(spark):
     log = spark.createDataFrame([(1, 1, "first", "new", None), (1, 2, "second", "done", 7), (1, 3, "third", "failed", None)], "id int, at int, title string, status string, bpm int")
     assert tuple(stores.upserted(log, "id", ["at"], ["title"], ["status"], ["bpm"]).first()) == (1, "first", "failed", 7)

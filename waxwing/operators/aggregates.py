@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waxwing.operators.staging import numbered_in_order
+
 from waxwing.operators.joins import first_per
 
 
 def ranked_counts(names: DataFrame, name: str, prefix: str, least: int = 1) -> DataFrame:
     """(id, name, count) of each name; ids number all names in order, those below ``least`` included, which then go."""
     counts = names.filter(F.col(name) != "").groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"))
-    rank = F.row_number().over(W.orderBy("name")) - 1
-    return counts.withColumn("id", F.concat(F.lit(prefix), rank.cast("string"))).filter(F.col("count") >= least).select("id", "name", "count")
+    ranked = numbered_in_order(counts, ["name"], "rank")
+    return ranked.withColumn("id", F.concat(F.lit(prefix), (F.col("rank") - 1).cast("string"))).filter(F.col("count") >= least).select("id", "name", "count")
 
 
 def first_where(value: str, order: str, keep: Column) -> Column:

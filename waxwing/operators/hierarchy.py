@@ -1,6 +1,6 @@
 """Operators over a tree of nodes (id, name, parent_id, type, seq); roots have the parent ROOT.
 
-Each level is one join of the frontier with the nodes, so a tree of depth k takes k joins, whatever its width.
+Each level is one join of the frontier with the nodes, until the frontier is empty: trees may be of any depth, and cycles end.
 """
 
 from __future__ import annotations
@@ -8,57 +8,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waxwing.operators.staging import until_empty
+
 ROOT = "ROOT"
-DEPTH = 8
 
 
-def descendants(nodes: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+def descendants(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(top, id, level) for each id of ``start`` and all below it; a node counts once for a top."""
-    level = start.select(F.col("id").alias("top"), "id").distinct().withColumn("level", F.lit(0))
-    children = nodes.select(F.col("parent_id").alias("_up"), F.col("id").alias("_down"))
-    found = level
-    for i in range(1, depth + 1):
-        level = level.join(children, level["id"] == children["_up"]).select("top", F.col("_down").alias("id"), F.lit(i).alias("level"))
-        found = found.unionByName(level)
-    return found.groupBy("top", "id").agg(F.min("level").alias("level"))
+    first = start.select(F.col("id").alias("top"), "id").distinct().withColumn("level", F.lit(0))
+    children = nodes.select(F.col("parent_id").alias("id"), F.col("id").alias("below"))
+    return until_empty(first, lambda now: now.join(children, "id").select("top", F.col("below").alias("id"), (F.col("level") + 1).alias("level")), ["top", "id"])
 
 
-def ancestors(nodes: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(of, id, level) for each id of ``start`` and all above it."""
-    level = start.select(F.col("id").alias("of"), "id").distinct().withColumn("level", F.lit(0))
-    parents = nodes.select(F.col("id").alias("_down"), F.col("parent_id").alias("_up")).filter(F.col("_up") != ROOT)
-    found = level
-    for i in range(1, depth + 1):
-        level = level.join(parents, level["id"] == parents["_down"]).select("of", F.col("_up").alias("id"), F.lit(i).alias("level"))
-        found = found.unionByName(level)
-    return found.groupBy("of", "id").agg(F.min("level").alias("level"))
+    first = start.select(F.col("id").alias("of"), "id").distinct().withColumn("level", F.lit(0))
+    parents = nodes.select("id", F.col("parent_id").alias("above")).filter(F.col("above") != ROOT)
+    return until_empty(first, lambda now: now.join(parents, "id").select("of", F.col("above").alias("id"), (F.col("level") + 1).alias("level")), ["of", "id"])
 
 
-def paths(nodes: DataFrame, depth: int = DEPTH, key: str = "name") -> DataFrame:
+def paths(nodes: DataFrame, key: str = "name") -> DataFrame:
     """(id, depth, path) of each node that hangs on a root; orphans go. The path joins the keys from the root down."""
-    level = nodes.filter(F.col("parent_id") == ROOT).select("id", F.col(key).cast("string").alias("path")).withColumn("depth", F.lit(0))
-    children = nodes.select(F.col("parent_id").alias("_up"), F.col("id").alias("_id"), F.col(key).cast("string").alias("_key"))
-    found = level
-    for i in range(1, depth + 1):
-        level = level.join(children, level["id"] == children["_up"]).select(F.col("_id").alias("id"), F.concat_ws("/", "path", "_key").alias("path"), F.lit(i).alias("depth"))
-        found = found.unionByName(level)
-    return found.select("id", "depth", "path")
+    named = nodes.select("id", "parent_id", F.col(key).cast("string").alias("key"))
+    first = named.filter(F.col("parent_id") == ROOT).select("id", F.lit(0).alias("depth"), F.col("key").alias("path"))
+    children = named.select(F.col("parent_id").alias("id"), F.col("id").alias("below"), "key")
+    return until_empty(first, lambda now: now.join(children, "id").select(F.col("below").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "key").alias("path")), ["id"])
 
 
-def tracks_below(nodes: DataFrame, entries: DataFrame, folder: str, depth: int = DEPTH) -> DataFrame:
+def tracks_below(nodes: DataFrame, entries: DataFrame, folder: str) -> DataFrame:
     """Different track ids in the folder's playlists at any depth; an unknown folder has none."""
-    own = descendants(nodes, nodes.filter(F.col("id") == folder), depth).select("id")
+    own = descendants(nodes, nodes.filter(F.col("id") == folder)).select("id")
     return entries.join(own, entries["pid"] == own["id"], "left_semi").select("track_id").distinct()
 
 
-def without_subtree(nodes: DataFrame, top: str, depth: int = DEPTH) -> DataFrame:
+def without_subtree(nodes: DataFrame, top: str) -> DataFrame:
     """The nodes without one and all below it."""
-    return nodes.join(descendants(nodes, nodes.filter(F.col("id") == top), depth).select("id"), "id", "left_anti")
+    return nodes.join(descendants(nodes, nodes.filter(F.col("id") == top)).select("id"), "id", "left_anti")
 
 
-def allowed_moves(nodes: DataFrame, moves: DataFrame, depth: int = DEPTH) -> DataFrame:
+def allowed_moves(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     """``moves`` (id, new_parent) with ``allowed``: whether the new parent is neither the node nor below it."""
-    above = ancestors(nodes, moves.select(F.col("new_parent").alias("id")), depth)
+    above = ancestors(nodes, moves.select(F.col("new_parent").alias("id")))
     loops = above.select(F.col("of").alias("new_parent"), "id").withColumn("_loop", F.lit(True))
     return moves.join(loops, ["id", "new_parent"], "left").select("id", "new_parent", F.col("_loop").isNull().alias("allowed"))
 

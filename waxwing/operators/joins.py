@@ -99,3 +99,31 @@ def nearest(left: DataFrame, right: DataFrame, group: str, at: str, other: str)
 def snap(value: Column, marks: Column) -> Column:
     """The array element nearest to the value, the earlier one on a tie; null for an empty array."""
     return F.array_min(F.transform(marks, lambda x: F.struct(F.abs(x - value).alias("gap"), x.alias("mark"))))["mark"]
+
+
+def restricted(tracks: DataFrame, selection: DataFrame, key: str = "id") -> DataFrame:
+    """``tracks`` of the selection's ids; an empty selection is an error, as it would export nothing."""
+    if selection.isEmpty():
+        raise ValueError("the selection holds no track")
+    return tracks.join(selection.select(key), key, "left_semi")
+
+
+def merged_playlist(sources: DataFrame, target: DataFrame) -> DataFrame:
+    """(track_id, first) to add to the target playlist: the sources' tracks (pid, track_id, pos) that it lacks, each with
+    its first place."""
+    wanted = sources.groupBy("track_id").agg(F.min(F.struct("pid", "pos")).alias("first"))
+    return wanted.join(target.select("track_id").distinct(), "track_id", "left_anti")
+
+
+def complete_sources(sources: DataFrame, merged: DataFrame) -> DataFrame:
+    """(pid, complete) of each source playlist: whether the merged one holds all of its tracks, so that it may go."""
+    held = merged.select("track_id").distinct().withColumn("held", F.lit(True))
+    return sources.join(held, "track_id", "left").groupBy("pid").agg(F.bool_and(F.col("held").isNotNull()).alias("complete"))
+
+
+def committed(both: DataFrame, strategy: str) -> DataFrame:
+    """(side, track_id, play_count) to write after ``reconcile``: conflicts by the strategy, on each side only what changes."""
+    count = F.when(F.col("source") == "conflict", resolved(strategy)).otherwise(F.col("resolved_count"))
+    sides = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_count").alias("old")) for x in ("pc", "usb"))))
+    rows = both.select("track_id", count.alias("play_count"), sides.alias("s"))
+    return rows.filter(F.col("s.old") != F.col("play_count")).select("s.side", "track_id", "play_count")

@@ -81,3 +81,23 @@ def running(df: DataFrame, order: Sequence[str], group: str, states: dict[str, C
     """Counts so far of each state within the group, row by row."""
     so_far = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns({name: F.sum(state.cast("long")).over(so_far) for name, state in states.items()})
+
+
+#: The kinds of taste vectors.
+VECTOR_KINDS = ("centroid", "cluster_0", "cluster_1", "cluster_2")
+
+
+def taste_vectors(log: DataFrame, order: Sequence[str], kinds: Sequence[str] = VECTOR_KINDS) -> DataFrame:
+    """The last vector of each (profile_id, kind); unknown kinds and empty profiles go."""
+    return latest(log.filter(F.col("kind").isin(*kinds) & (F.coalesce("profile_id", F.lit("")) != "")), ["profile_id", "kind"], order)
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(filename, path, timestamp, target, tracks, scope_kind, batch_id) of rows (path, text) that are manifests in JSON.
+
+    Names are manifest-*.json; what is no JSON object goes.
+    """
+    schema = "timestamp string, target string, tracks array<string>, scope struct<kind:string>, batch_id string"
+    named = files.withColumn("filename", F.substring_index("path", "/", -1)).filter(F.col("filename").rlike(r"^manifest-.*\.json$"))
+    read = named.withColumn("m", F.from_json("text", schema)).filter(F.get_json_object("text", "$").startswith("{") & F.col("m").isNotNull())
+    return read.select("filename", "path", "m.timestamp", "m.target", F.coalesce(F.size("m.tracks"), F.lit(0)).cast("long").alias("tracks"), F.col("m.scope.kind").alias("scope_kind"), "m.batch_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waxwing.operators import joins as J
+from waxwing.operators.staging import numbered_in_order
 from waxwing.plans.registry import query, table
 from waxwing.sources.adapters import TRACKS_SQL as T
 from waxwing.sources.adapters import entries, tracks
@@ -225,10 +226,10 @@ def union_tagged(spark, d):
     return one("click", "import").unionByName(one("view", "download"))
 
 
-@query("union_distinct", "SELECT l_partkey AS id FROM lineitem WHERE l_orderkey < 200 UNION SELECT l_partkey FROM lineitem WHERE l_orderkey BETWEEN 150 AND 500")
+@query("union_distinct", "SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'")
 def union_distinct(spark, d):
-    own = entries(spark, d)
-    return own.filter("pid < 200").select(F.col("track_id").alias("id")).union(own.filter("pid between 150 and 500").select("track_id")).distinct()
+    own = table(spark, d, "lineitem")
+    return own.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("id")).union(own.filter("l_linestatus = 'O'").select("l_partkey")).distinct()
 
 
 @query("set_diff_tags", "SELECT id, coalesce(list_aggregate(list_sort(list_filter(w, lambda x: NOT list_contains(c, x))), 'string_agg', ','), '') AS to_add, coalesce(list_aggregate(list_sort(list_filter(c, lambda x: NOT list_contains(w, x))), 'string_agg', ','), '') AS to_remove FROM (SELECT l_partkey AS id, list(DISTINCT l_returnflag) FILTER (WHERE l_linestatus = 'O') AS w0, list(DISTINCT l_returnflag) FILTER (WHERE l_linestatus = 'F') AS c0, coalesce(w0, []) AS w, coalesce(c0, []) AS c FROM lineitem GROUP BY 1)")
@@ -239,10 +240,9 @@ def set_diff_tags(spark, d):
     return both.select("id", minus("w", "c").alias("to_add"), minus("c", "w").alias("to_remove"))
 
 
-@query("sort_dynamic", f"SELECT id, title, row_number() OVER (ORDER BY lower(coalesce(title, '')) DESC, id) AS place FROM {T} QUALIFY place <= 200")
+@query("sort_dynamic", f"SELECT id, title, row_number() OVER (ORDER BY lower(coalesce(title, '')) DESC, id) AS place FROM {T}")
 def sort_dynamic(spark, d):
-    top = tracks(spark, d).select("id", "title").orderBy(F.lower(F.coalesce("title", F.lit(""))).desc(), "id").limit(200)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.lower("title").desc(), "id")).cast("long"))
+    return numbered_in_order(tracks(spark, d).select("id", "title"), [F.lower(F.coalesce("title", F.lit(""))).desc(), F.col("id")])
 
 
 @query("history_page", "SELECT event_id, ts FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
@@ -273,9 +273,9 @@ def pick_bitrate(spark, d):
 @query("retention_cap", "WITH e AS (SELECT event_id, event_type IN ('purchase', 'error') AS finished, ts FROM events) SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY finished ORDER BY ts, event_id) AS n, (SELECT count(*) FROM e) - 8000 AS over FROM e) WHERE NOT (finished AND n <= over)")
 def retention_cap(spark, d):
     rows = table(spark, d, "events").select("event_id", F.col("event_type").isin("purchase", "error").alias("finished"), "ts")
-    over = rows.agg((F.count("*") - 8000).alias("over"))
-    # Only finished rows can go: the oldest of them, found by a top-k and not by numbering all rows in one task.
-    drop = rows.filter("finished").orderBy("ts", "event_id").limit(max(0, over.first()["over"])).select("event_id")
+    # Only finished rows can go, the oldest first.
+    ranked = numbered_in_order(rows.filter("finished"), ["ts", "event_id"], "n")
+    drop = ranked.crossJoin(rows.agg((F.count("*") - 8000).alias("over"))).filter("n <= over").select("event_id")
     return rows.select("event_id").join(drop, "event_id", "left_anti")
 
 
@@ -300,7 +300,7 @@ def sample_n(spark, d):
     return tracks(spark, d).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(100).select("id", "title")
 
 
-@query("scope_dedup", "SELECT id, min(pos) AS pos FROM (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_orderkey < 300) GROUP BY 1")
+@query("scope_dedup", "SELECT id, min(pos) AS pos FROM (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem) GROUP BY 1")
 def scope_dedup(spark, d):
-    wanted = entries(spark, d).filter("pid < 300").select(F.col("track_id").alias("id"), (F.col("pid") * 10 + F.col("pos")).alias("pos"))
+    wanted = entries(spark, d).select(F.col("track_id").alias("id"), (F.col("pid") * 10 + F.col("pos")).alias("pos"))
     return J.first_per(wanted, ["id"], ["pos"])

@@ -10,6 +10,7 @@ from waxwing.operators import aggregates as A
 from waxwing.operators import hierarchy as H
 from waxwing.operators import sequences as S
 from waxwing.operators import stores as D
+from waxwing.operators.staging import numbered_in_order
 from waxwing.plans.registry import query, table
 from waxwing.plans.text import _label, _stem
 from waxwing.sources.adapters import NODES_SQL, TITLES_SQL, entries, nodes, titles, tracks
@@ -189,10 +190,10 @@ def history_sessions(spark, d):
     return lists.select("session", F.array_join(F.transform("h", lambda x: x["o_orderkey"].cast("string")), ",").alias("tracks"))
 
 
-@query("surrogate_keys", f"SELECT id, artist, dense_rank() OVER (ORDER BY artist) AS artist_id FROM {T} WHERE id < 500")
+@query("surrogate_keys", f"SELECT id, artist, dense_rank() OVER (ORDER BY artist) AS artist_id FROM {T}")
 def surrogate_keys(spark, d):
-    keys = tracks(spark, d).filter("id < 500").select("artist").distinct().withColumn("artist_id", F.row_number().over(W.orderBy("artist")).cast("long"))
-    return tracks(spark, d).filter("id < 500").join(keys, "artist").select("id", "artist", "artist_id")
+    keys = numbered_in_order(tracks(spark, d).select("artist").distinct(), ["artist"], "artist_id")
+    return tracks(spark, d).join(keys, "artist").select("id", "artist", "artist_id")
 
 
 # --- Ordered sequences: a user's events are a track's beats, their values its energies ---
@@ -324,18 +325,18 @@ _BELOW = f"WITH RECURSIVE n AS {N}, t AS (SELECT id FROM n WHERE id = '{{}}' UNI
 
 @query("tree_paths", f"{_TREE} SELECT id, depth, path FROM t")
 def tree_paths(spark, d):
-    return H.paths(nodes(spark, d), 4)
+    return H.paths(nodes(spark, d))
 
 
 @query("folder_tracks", f"{_BELOW.format('n3')} SELECT DISTINCT l_partkey AS track_id FROM lineitem JOIN t ON t.id = 'o' || l_orderkey")
 def folder_tracks(spark, d):
     named = entries(spark, d).withColumn("pid", F.concat(F.lit("o"), F.col("pid").cast("string")))
-    return H.tracks_below(nodes(spark, d), named, "n3", 4)
+    return H.tracks_below(nodes(spark, d), named, "n3")
 
 
 @query("tree_delete", f"{_BELOW.format('r1')} SELECT id, type FROM n WHERE id NOT IN (SELECT id FROM t)")
 def tree_delete(spark, d):
-    return H.without_subtree(nodes(spark, d), "r1", 4).select("id", "type")
+    return H.without_subtree(nodes(spark, d), "r1").select("id", "type")
 
 
 @query("tree_cycle", "SELECT 'r' || r_regionkey AS id, 'n' || n_nationkey AS new_parent, n_regionkey <> r_regionkey AS allowed FROM region, nation")
@@ -343,20 +344,19 @@ def tree_cycle(spark, d):
     every = nodes(spark, d)
     regions = every.filter(F.startswith("id", F.lit("r"))).select("id")
     moves = regions.crossJoin(F.broadcast(every.filter(F.startswith("id", F.lit("n"))).select(F.col("id").alias("new_parent"))))
-    return H.allowed_moves(every, moves, 4)
+    return H.allowed_moves(every, moves)
 
 
-@query("tree_ancestors", "SELECT DISTINCT unnest(['o' || o_orderkey, 'c' || o_custkey, 'n' || c_nationkey, 'r' || n_regionkey]) AS id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 100 = 5")
+@query("tree_ancestors", "SELECT DISTINCT unnest(['o' || o_orderkey, 'c' || o_custkey, 'n' || c_nationkey, 'r' || n_regionkey]) AS id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def tree_ancestors(spark, d):
     every = nodes(spark, d)
-    chosen = every.filter((F.col("type") == 1) & (F.col("seq") % 100 == 5))
-    return H.ancestors(every, chosen, 4).select("id").distinct()
+    return H.ancestors(every, every.filter("type = 1")).select("id").distinct()
 
 
 @query("tree_emit", f"{_TREE} SELECT t.id, t.depth, row_number() OVER (PARTITION BY parent_id ORDER BY seq, t.id) - 1 AS seq FROM t JOIN n USING (id)")
 def tree_emit(spark, d):
     every = nodes(spark, d)
-    rows = H.paths(every, 4).join(every.select("id", "parent_id", F.col("seq").alias("old")), "id")
+    rows = H.paths(every).join(every.select("id", "parent_id", F.col("seq").alias("old")), "id")
     return S.numbered(rows, "parent_id", ["old", "id"], "seq").select("id", "depth", F.col("seq").cast("long").alias("seq"))
 
 
@@ -440,10 +440,10 @@ def batch_update(spark, d):
     return D.updated(tracks(spark, d).select("id", "rating", "title"), update, "id", ["rating"])
 
 
-@query("add_entry_dedup", "SELECT l_orderkey AS pid, l_partkey AS track_id FROM lineitem WHERE l_orderkey < 1000 UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 1000")
+@query("add_entry_dedup", "SELECT l_orderkey AS pid, l_partkey AS track_id FROM lineitem UNION SELECT o_orderkey, o_custkey FROM orders")
 def add_entry_dedup(spark, d):
-    new = table(spark, d, "orders").filter("o_orderkey < 1000").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("track_id"))
-    own = entries(spark, d).filter("pid < 1000").select("pid", "track_id").distinct()
+    new = table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("track_id"))
+    own = entries(spark, d).select("pid", "track_id").distinct()
     return own.unionByName(new.join(own, ["pid", "track_id"], "left_anti").distinct())
 
 
