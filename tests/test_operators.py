@@ -165,6 +165,8 @@ def test_fingerprint_groups(spark):
     pairs = similarity.fingerprint_pairs(prints, "w", 4, 0.9)
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (1, 5), (2, 5)}
     assert [(r.seed, r.members) for r in similarity.duplicate_groups(pairs).collect()] == [(1, [2, 5])]
+    chain = spark.createDataFrame([(i, i + 1, 0.9) for i in range(30)], "a long, b long, similarity double")
+    assert sorted((r.seed, r.members) for r in similarity.duplicate_groups(chain).collect()) == [(i, [i + 1]) for i in range(0, 30, 2)]
 
 
 XML = """<?xml version="1.0"?><DJ_PLAYLISTS><COLLECTION>
@@ -185,8 +187,10 @@ def test_collection_xml(spark, tmp_path):
     sinks.write_tracks(tracks, f"file://{tmp_path}/out")
     again = catalog.read_tracks(spark, f"file://{tmp_path}/out").orderBy("id").collect()
     assert [(r.id, r.title, r.path, r.bpm) for r in again] == [(r.id, r.title, r.path, r.bpm) for r in (a, b)] and again[0].beats[0] == a.beats[0]
-    tree = sinks.playlist_xml(spark.createDataFrame([("f", "F", "ROOT", 0, 0), ("p", "P", "f", 1, 0), ("o", "O", "gone", 1, 0)], "id string, name string, parent_id string, type int, seq int"), spark.createDataFrame([("p", 9, 1), ("p", 8, 0)], "pid string, track_id int, pos int"))
-    assert '<NODE Type="1" Name="P"><TRACK Key="8" /><TRACK Key="9" /></NODE>' in tree and "O" not in tree.replace("ROOT", "").replace("DJ_PLAYLISTS", "").replace("NODE", "")
+    nodes = spark.createDataFrame([("f", "F & <x>", "ROOT", 0, 0), ("p", "P", "f", 1, 1), ("q", "Q", "f", 1, 0), ("o", "O", "gone", 1, 0)], "id string, name string, parent_id string, type int, seq int")
+    sinks.write_playlists(nodes, spark.createDataFrame([("p", 9, 1), ("p", 8, 0), ("o", 1, 0)], "pid string, track_id int, pos int"), f"file://{tmp_path}/tree")
+    written = "".join(x.read_text() for x in sorted((tmp_path / "tree").glob("part-*"))).replace("\n", "")
+    assert written == '<DJ_PLAYLISTS Version="1.0.0"><PLAYLISTS><NODE Type="0" Name="ROOT"><NODE Type="0" Name="F &amp; &lt;x&gt;"><NODE Type="1" Name="Q"></NODE><NODE Type="1" Name="P"><TRACK Key="8"/><TRACK Key="9"/></NODE></NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>'
 
 
 def test_pages_grids_and_folders(spark, tmp_path):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as tree
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waxwing.operators.hierarchy import paths
 from waxwing.sources.catalog import ATTRIBUTES
 
 
@@ -37,23 +36,25 @@ def write_tracks(tracks: DataFrame, path: str) -> None:
     tracks.select(*attributes, location.alias("_Location"), *nested).write.mode("overwrite").format("xml").option("rootTag", "COLLECTION").option("rowTag", "TRACK").save(path)
 
 
-def playlist_xml(nodes: DataFrame, entries: DataFrame) -> str:
-    """The playlist tree as one XML text: a tree is small beside its tracks, and is written in one piece."""
-    rows = nodes.select("id", "name", "parent_id", "type", "seq").orderBy("seq", "id").collect()
-    keys = {r["pid"]: r["keys"] for r in entries.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("track_id").cast("string").alias("k")))).alias("keys")).collect()}
-    top = tree.Element("NODE", Type="0", Name="ROOT")
-    made = {"ROOT": top}
-    waiting = list(rows)
-    while waiting:
-        rest = [r for r in waiting if r["parent_id"] not in made]
-        for r in waiting:
-            if r["parent_id"] in made:
-                made[r["id"]] = tree.SubElement(made[r["parent_id"]], "NODE", Type=str(r["type"]), Name=r["name"])
-                for item in keys.get(r["id"], ()):
-                    tree.SubElement(made[r["id"]], "TRACK", Key=item["k"])
-        if len(rest) == len(waiting):
-            break  # orphans go
-        waiting = rest
-    root = tree.Element("DJ_PLAYLISTS", Version="1.0.0")
-    tree.SubElement(root, "PLAYLISTS").append(top)
-    return tree.tostring(root, "unicode")
+def playlist_lines(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(at, line): the playlist tree and its entries (pid, track_id, pos) as lines of XML, in the order of ``at``.
+
+    A node's opening, tracks, children by seq and id, and closing sort after each other; orphans go.
+    """
+    step = lambda seq: F.lpad(F.coalesce(seq, F.lit(0)).cast("string"), 12, "0")
+    escaped = lambda x: F.replace(F.replace(F.replace(F.replace(x.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    keyed = nodes.withColumn("key", F.concat(step(F.col("seq")), F.hex(F.col("id").cast("string"))))
+    at = F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("2"), x))
+    placed = paths(keyed, "key").select("id", at.alias("at")).join(nodes.select("id", "name", "type"), "id")
+    end = lambda *parts: F.concat("at", F.array(*parts))
+    begun = placed.select(end(F.lit("0")).alias("at"), F.concat(F.lit('<NODE Type="'), F.col("type").cast("string"), F.lit('" Name="'), escaped(F.coalesce("name", F.lit(""))), F.lit('">')).alias("line"))
+    closed = placed.select(end(F.lit("3")).alias("at"), F.lit("</NODE>").alias("line"))
+    held = entries.join(placed, entries["pid"] == placed["id"])
+    held = held.select(end(F.concat(F.lit("1"), step(F.col("pos"))), F.col("track_id").cast("string")).alias("at"), F.concat(F.lit('<TRACK Key="'), escaped(F.col("track_id")), F.lit('"/>')).alias("line"))
+    frame = [(["0"], '<DJ_PLAYLISTS Version="1.0.0"><PLAYLISTS><NODE Type="0" Name="ROOT">'), (["3"], "</NODE></PLAYLISTS></DJ_PLAYLISTS>")]
+    return nodes.sparkSession.createDataFrame(frame, "at array<string>, line string").unionByName(begun).unionByName(held).unionByName(closed)
+
+
+def write_playlists(nodes: DataFrame, entries: DataFrame, path: str) -> None:
+    """The playlist tree as XML in text files, which follow each other in the order of their names; nothing is collected."""
+    playlist_lines(nodes, entries).orderBy("at").select("line").write.mode("overwrite").text(path)
