@@ -16,9 +16,13 @@ from .work import private, small_side, text_bytes
 
 #: Labelled rows that the model is fitted on, of each label: the bound of what is collected and broadcast.
 SAMPLE = 1500
-#: Terms (hashed character-shape trigrams, then word statistics), latent dimensions, voting neighbours, power of the
-#: similarity that weighs a vote, and documents in a block of cosine products.
-SHAPES, STATS, LATENT, NEIGHBOURS, POWER, BLOCK = 1024, 64, 32, 25, 4, 512
+#: Terms: hashed trigrams of character shapes, word statistics, hashed trigrams of letters, hashed words; and the weight of
+#: the latter two beside the former.
+SHAPES, STATS, LETTERS, WORDS, LEXICAL = 1024, 64, 1024, 1024, 1.0
+TERMS = SHAPES + STATS + LETTERS + WORDS
+#: Latent dimensions, voting neighbours, power of the similarity that weighs a vote, and documents in a block of cosine
+#: products.
+LATENT, NEIGHBOURS, POWER, BLOCK = 48, 25, 4, 512
 #: A row with at least this score is predicted to have label 1.
 THRESHOLD = 0.3
 
@@ -31,6 +35,8 @@ _CLASS[10] = 5
 for _i, _c in enumerate([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]):
     _CLASS[_c] = 6 + _i
 _TRIGRAM = (mix(np.arange(1 << 18, dtype=U)) % U(SHAPES)).astype(np.int32)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, dtype=U)
 
 
@@ -39,22 +45,26 @@ def _bin(share: float, bins: int) -> int:
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, counts of its terms) from the whole text: hashed trigrams of character classes, and of the words how many
-    equal the one before, how few are distinct and how long they are."""
+    """(row, counts of its terms) from the whole text: hashed trigrams of character classes; of the words how many equal the
+    one before, how few are distinct and how long they are; hashed trigrams of bytes, A-Z as a-z; and hashed words."""
     for row, end, data, at in binary_chunks(column):
         kind = _CLASS[data].astype(np.int32)
         grams = _TRIGRAM[(kind[:-2] << 12) | (kind[1:-1] << 6) | kind[2:]] if len(kind) > 2 else np.zeros(0, np.int32)
         starts, ends = word_spans(data, at)
+        low = _LOWER[data]
+        letters = (((low[:-2] << U(16) | low[1:-1] << U(8) | low[2:]) * U(0x9E3779B97F4A7C15)) >> U(54)).astype(np.int32) if len(low) > 2 else np.zeros(0, np.int32)
         sums = prefix_hash(data, _TABLE)
         words = (sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts]
         cuts = np.searchsorted(starts, at)
         for i in range(end - row):
             a, b = int(at[i]), int(at[i + 1])
-            out = np.zeros(SHAPES + STATS, np.float32)
+            out = np.zeros(TERMS, np.float32)
             if b - a > 2:
                 out[:SHAPES] = np.bincount(grams[a : b - 2], minlength=SHAPES)
+                out[SHAPES + STATS : TERMS - WORDS] = np.bincount(letters[a : b - 2], minlength=LETTERS)
             if n := int(cuts[i + 1] - cuts[i]):
                 own = words[cuts[i] : cuts[i + 1]]
+                out[TERMS - WORDS :] = np.bincount((mix(own) >> U(54)).astype(np.int32), minlength=WORDS)
                 same = float((own[1:] == own[:-1]).mean()) if n > 1 else 0.0
                 few = 1 - len(np.unique(own)) / n
                 long = float((ends[cuts[i] : cuts[i + 1]] - starts[cuts[i] : cuts[i + 1]]).mean())
@@ -63,6 +73,14 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield row + i, out
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Terms by log of count and idf; those of shape and those of letters and words have fixed shares of the unit norm."""
+    x = np.log1p(counts) * idf
+    for part, weight in ((slice(0, SHAPES + STATS), 1.0), (slice(SHAPES + STATS, TERMS), LEXICAL)):
+        x[:, part] *= weight / np.maximum(np.linalg.norm(x[:, part], axis=1, keepdims=True), 1e-12)
+    return x
+
+
 @dataclass(frozen=True)
 class Model:
     """Term weights, the projection to latent dimensions, and the labelled rows' unit vectors and labels."""
@@ -73,9 +91,7 @@ class Model:
     labels: np.ndarray
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        x = x @ self.project
+        x = weighted(counts, self.idf) @ self.project
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -92,14 +108,19 @@ class Model:
 
 def fit_arrays(counts: np.ndarray, labels: np.ndarray) -> Model:
     """Latent-semantic analysis of a bounded sample: tf-idf, then the leading right singular vectors."""
-    n, terms = len(labels), SHAPES + STATS
-    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1) if n else np.ones(terms, np.float32)
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64)) if n else (None, np.eye(terms))
-    project = np.ascontiguousarray(vectors[:, ::-1][:, :LATENT], np.float32)
+    n = len(labels)
+    if not n:
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), labels.astype(np.float64))
+    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    x = weighted(counts, idf)
+    # Subspace iteration from a fixed start: the leading vectors without a decomposition of all terms.
+    basis = np.random.Generator(np.random.PCG64(3)).standard_normal((TERMS, LATENT + 16)).astype(np.float32)
+    for _ in range(8):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    _, vectors = np.linalg.eigh((x @ basis).T.astype(np.float64) @ (x @ basis))
+    project = np.ascontiguousarray(basis @ vectors[:, ::-1][:, :LATENT].astype(np.float32))
     model = Model(idf, project, np.zeros((0, LATENT), np.float32), labels.astype(np.float64))
-    return Model(idf, project, np.ascontiguousarray(model.latent(counts)), labels.astype(np.float64)) if n else model
+    return Model(idf, project, np.ascontiguousarray(model.latent(counts)), labels.astype(np.float64))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(sample) for v in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(small_side(chosen, 2 * sample), "id")
-    counted = texts.select("id", "label", "text").mapInArrow(_counted, "id long, label int, counts binary").dropDuplicates(["id"])
+    counted = texts.select("id", "label", "text").mapInArrow(_counted, "id long, label int, counts binary")
+    # Of rows that repeat an id with other texts, the one of the least hash of its terms.
+    counted = counted.groupBy("id").agg(F.min_by(F.struct("label", "counts"), F.xxhash64("counts")).alias("x")).select("id", "x.label", "x.counts")
     rows = counted.orderBy("id").toArrow()
-    counts = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in rows.column("counts")]) if rows.num_rows else np.zeros((0, SHAPES + STATS), np.float32)
+    counts = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in rows.column("counts")]) if rows.num_rows else np.zeros((0, TERMS), np.float32)
     return fit_arrays(counts, rows.column("label").to_numpy())
 
 
