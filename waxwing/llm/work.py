@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waxwing.operators.staging import folder, staged  # noqa: F401
+
 #: At most this many rows of a small key table may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Only a session on one machine may leave that unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="waxwing-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/waxwing-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: cuts the lineage so that a lost executor costs a read, not a rerun."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows (counted first), else unhinted for a shuffle join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
