@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,3 +203,18 @@ def density_corrected(bpm: Column, onsets: Column, seconds: Column, low: float,
     ratio = F.try_divide(F.try_divide(onsets, seconds), bpm / 60.0)
     usable = (bpm > 0) & (seconds >= 5.0) & (onsets > 0) & (bpm / 60.0 >= 0.1)
     return F.when(usable & (ratio > most) & (bpm * 2 < high), bpm * 2).when(usable & (ratio < least) & (bpm / 2 > low), bpm / 2).otherwise(bpm)
+
+
+def band_energy(frame: Column, hz: float, rate: float = 11025.0) -> Column:
+    """The squared magnitude of a frame of samples at one frequency, by Goertzel's recurrence."""
+    turn = 2.0 * math.cos(2.0 * math.pi * hz / rate)
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    step = lambda s, x: F.struct((x.cast("double") + turn * s["a"] - s["b"]).alias("a"), s["a"].alias("b"))
+    return F.aggregate(frame, zero, step, lambda s: s["a"] * s["a"] + s["b"] * s["b"] - turn * s["a"] * s["b"])
+
+
+def mel_bands(frame: Column, bands: int = 32, low: float = 80.0, high: float = 4000.0, rate: float = 11025.0) -> Column:
+    """The energies at frequencies that lie evenly between two bounds on the mel scale."""
+    scale = lambda hz: 2595.0 * math.log10(1.0 + hz / 700.0)
+    places = [scale(low) + (scale(high) - scale(low)) * k / (bands - 1) for k in range(bands)]
+    return F.array(*(band_energy(frame, 700.0 * (10.0 ** (m / 2595.0) - 1.0), rate) for m in places))

@@ -110,19 +110,15 @@ def thinned(df: DataFrame, group: str, at: str, always: str, gap: float, most: i
 def change_points(df: DataFrame, group: str, at: str, value: str, change: float, spacing: float, steady: float) -> DataFrame:
     """(group, at, value) anchors of a curve: its first point, then each that is ``change`` or more from the last anchor
     and ``spacing`` or more after it. A curve whose deviation is below ``steady`` has one."""
-    plain = df.select(group, F.col(at).cast("double").alias(at), F.col(value).cast("double").alias(value))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, value])
-        kept = [0]
-        if frame[value].std(ddof=0) >= steady:
-            times, values = frame[at].tolist(), frame[value].tolist()
-            for i in range(1, len(times)):
-                if abs(values[i] - values[kept[-1]]) >= change and times[i] - times[kept[-1]] >= spacing:
-                    kept.append(i)
-        return frame.iloc[kept]
-
-    return plain.groupBy(group).applyInPandas(run, plain.schema)
+    point = F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
+    curves = df.groupBy(group).agg(F.array_sort(F.collect_list(point)).alias("points"), F.stddev_pop(F.col(value).cast("double")).alias("deviation"))
+    # The fold carries the last anchor and those found; it stays in the JVM, one curve at a time.
+    first = F.get("points", F.lit(0))
+    far = lambda last, x: (F.abs(x["value"] - last["value"]) >= change) & (x["at"] - last["at"] >= spacing)
+    step = lambda acc, x: F.when(far(acc["last"], x), F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    kept = F.aggregate(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), F.struct(first.alias("last"), F.array(first).alias("kept")), step, lambda acc: acc["kept"])
+    anchors = curves.select(group, F.explode(F.when(F.col("deviation") >= steady, kept).otherwise(F.array(first))).alias("p"))
+    return anchors.select(group, F.col("p.at").alias(at), F.col("p.value").alias(value))
 
 
 def matched_within(reference: Iterable[float], found: Iterable[float], tolerance: float) -> list[tuple[float, float]]:

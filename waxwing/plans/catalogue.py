@@ -188,3 +188,13 @@ def manifest_list(spark, d):
 @query("playcount_commit", f"SELECT side, track_id, n AS play_count FROM (SELECT track_id, CASE source WHEN 'equal' THEN pc_count WHEN 'pc' THEN pc_count WHEN 'usb' THEN usb_count ELSE pc_count + usb_count END AS n, unnest(['pc', 'usb']) AS side, unnest([pc_count, usb_count]) AS old FROM {_DIFF}) WHERE old <> n")
 def playcount_commit(spark, d):
     return J.committed(_sides(spark, d), "sum")
+
+
+_WAVE = "2.0::DOUBLE * pi() * (700.0::DOUBLE * (pow(10.0::DOUBLE, (m.lo + (m.hi - m.lo) * k.k / 7.0::DOUBLE) / 2595.0::DOUBLE) - 1.0::DOUBLE)) / 11025.0::DOUBLE * i.i"
+
+
+@query("mel_bands", f"SELECT vec_id, k::BIGINT AS band, round(pow(sum(x * cos(w)), 2) + pow(sum(x * sin(w)), 2), 5) AS energy FROM (SELECT vec_id, k.k AS k, embedding[(i.i + 1)::BIGINT]::DOUBLE AS x, {_WAVE} AS w FROM embeddings, range(64) i(i), range(8) k(k), (SELECT 2595.0::DOUBLE * log10(1.0::DOUBLE + 80.0::DOUBLE / 700.0::DOUBLE) AS lo, 2595.0::DOUBLE * log10(1.0::DOUBLE + 4000.0::DOUBLE / 700.0::DOUBLE) AS hi) m) GROUP BY 1, 2")
+def mel_bands(spark, d):
+    """Goertzel's energies equal those of the transform at the same frequencies."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(M.mel_bands(F.col("embedding"), 8)).alias("band", "energy"))
+    return rows.select("vec_id", F.col("band").cast("long").alias("band"), F.round("energy", 5).alias("energy"))

@@ -264,7 +264,13 @@ def spacing_thin(spark, d):
     return S.thinned(_timed(spark, d).select("user_id", "t", "event_id", "sure"), "user_id", "t", "sure", 12 * 3.6e9, 40).select("user_id", "event_id")
 
 
-@query("tempo_anchors")
+_CURVE = "(SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS n, stddev_pop(value) OVER (PARTITION BY user_id) AS sd FROM events)"
+_ANCHORS = f"""WITH RECURSIVE p AS MATERIALIZED {_CURVE}, a AS (SELECT user_id, n, t, value, t AS lt, value AS lv, true AS k FROM p WHERE n = 1
+UNION ALL SELECT user_id, n, t, value, CASE WHEN k THEN t ELSE lt END, CASE WHEN k THEN value ELSE lv END, k FROM (SELECT p.user_id, p.n, p.t, p.value, a.lt, a.lv, p.sd >= 0.5 AND abs(p.value - a.lv) >= 50 AND p.t - a.lt >= 7200 AS k FROM a JOIN p ON p.user_id = a.user_id AND p.n = a.n + 1))
+SELECT user_id, t, value FROM a WHERE k"""
+
+
+@query("tempo_anchors", _ANCHORS)
 def tempo_anchors(spark, d):
     return S.change_points(_timed(spark, d).withColumn("t", F.col("t") / 1e6), "user_id", "t", "value", 50.0, 7200.0, 0.5)
 
