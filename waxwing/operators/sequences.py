@@ -83,28 +83,18 @@ def top_cues(df: DataFrame, group: str, order: str, score: Column, most: int) ->
     return rows.withColumn("number", F.row_number().over(ordered) - 1).drop("_score", "_first", "_rank")
 
 
-def _kept_by_spacing(times: Sequence[float], always: Sequence[bool], gap: float, most: int) -> list[int]:
-    kept, last = [], float("-inf")
-    for i, (t, sure) in enumerate(zip(times, always, strict=True)):
-        if len(kept) == most:
-            break
-        if sure or t - last >= gap:
-            kept.append(i)
-            last = t
-    return kept
-
-
 def thinned(df: DataFrame, group: str, at: str, always: str, gap: float, most: int) -> DataFrame:
     """Rows in time order that are always kept or at least ``gap`` after the last kept one, ``most`` a group.
 
-    What is kept depends on what was kept before; so a group's rows are folded in order, in one task for each group.
+    What is kept depends on what was kept before: a fold over each group's rows in order, which stays in the JVM.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, *(c for c in frame.columns if c not in (at, group))], kind="stable").reset_index(drop=True)
-        return frame.iloc[_kept_by_spacing(frame[at].tolist(), frame[always].tolist(), gap, most)]
-
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    others = [c for c in df.columns if c not in (at, group)]
+    lists = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(at, *others))).alias("rows"))
+    none = F.struct(F.lit(float("-inf")).alias("last"), F.slice("rows", 1, 0).alias("kept"))
+    fits = lambda acc, x: (F.size(acc["kept"]) < most) & (F.coalesce(x[always], F.lit(False)) | (x[at].cast("double") - acc["last"] >= gap))
+    step = lambda acc, x: F.when(fits(acc, x), F.struct(x[at].cast("double").alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    kept = lists.select(group, F.explode(F.aggregate("rows", none, step, lambda acc: acc["kept"])).alias("r"))
+    return kept.select(*(F.col(group) if c == group else F.col(f"r.{c}").alias(c) for c in df.columns))
 
 
 def change_points(df: DataFrame, group: str, at: str, value: str, change: float, spacing: float, steady: float) -> DataFrame:

@@ -259,7 +259,13 @@ def _timed(spark, d):
     return _events(spark, d).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", (F.col("event_type") == "purchase").alias("sure"), "value")
 
 
-@query("spacing_thin")
+_SPACED = """WITH RECURSIVE p AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts)::DOUBLE AS t, event_type = 'purchase' AS sure, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+a AS (SELECT user_id, event_id, n, t AS lt, 1 AS c, true AS k FROM p WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, CASE WHEN k THEN t ELSE lt END, CASE WHEN k THEN c + 1 ELSE c END, k FROM (SELECT p.user_id, p.event_id, p.n, p.t, a.lt, a.c, a.c < 40 AND (p.sure OR p.t - a.lt >= 12 * 3.6e9::DOUBLE) AS k FROM a JOIN p ON p.user_id = a.user_id AND p.n = a.n + 1))
+SELECT user_id, event_id FROM a WHERE k"""
+
+
+@query("spacing_thin", _SPACED)
 def spacing_thin(spark, d):
     return S.thinned(_timed(spark, d).select("user_id", "t", "event_id", "sure"), "user_id", "t", "sure", 12 * 3.6e9, 40).select("user_id", "event_id")
 
