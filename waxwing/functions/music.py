@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -182,20 +184,29 @@ PITCHES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 def key_of(chroma: Column, minor_bias: float = 1.1) -> Column:
     """(pitch, mode, score) of the key whose profiles go best with twelve pitch energies, by the mean of their correlations.
 
-    Minor scores are weighted by the bias. Of equal scores the lower pitch, then major, counts; silence is C major with 0.
+    Minor scores are weighted by the bias. Of equal scores the lower pitch, then major, counts; silence is C major with 0,
+    equal energies other than that with -2. Profiles of mean 0 and length 1 make each score one sum of twelve products.
     """
-    values = F.transform(chroma, lambda x: x.cast("double"))
-    turned = lambda by: F.concat(F.slice(values, by + 1, F.lit(12) - by), F.slice(values, 1, by))
-
-    def score(by: Column, mode: int) -> Column:
-        mean = sum((pearson(turned(by), F.array(*map(F.lit, family[mode]))) for family in PROFILES), F.lit(0.0)) / len(PROFILES)
-        return mean * minor_bias if mode else mean
-
-    each = lambda by, mode: F.struct(score(by, mode).alias("score"), (-by * 2 - mode).alias("first"), F.element_at(F.array(*map(F.lit, PITCHES)), by + 1).alias("pitch"), F.lit(("major", "minor")[mode]).alias("mode"))
-    best = F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda by: F.array(each(by, 0), each(by, 1)))))
-    silent = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) < 1e-16
-    none = F.struct(F.lit("C").alias("pitch"), F.lit("major").alias("mode"), F.lit(0.0).alias("score"))
-    return F.when(silent, none).otherwise(F.struct(best["pitch"].alias("pitch"), best["mode"].alias("mode"), best["score"].alias("score")))
+    values = [F.get(chroma, F.lit(i)).cast("double") for i in range(12)]
+
+    def unit(profile: list[float]) -> list[float]:
+        mean = sum(profile) / 12
+        length = math.sqrt(sum((v - mean) ** 2 for v in profile))
+        return [(v - mean) / length for v in profile]
+
+    def each(pitch: int, mode: int) -> Column:
+        units = [unit(family[mode]) for family in PROFILES]
+        weights = [sum(u[(i - pitch) % 12] for u in units) / len(units) * (minor_bias if mode else 1.0) for i in range(12)]
+        score = reduce(operator.add, (v * w for v, w in zip(values, weights, strict=True)))
+        return F.struct(score.alias("score"), F.lit(-pitch * 2 - mode).alias("first"), F.lit(PITCHES[pitch]).alias("pitch"), F.lit(("major", "minor")[mode]).alias("mode"))
+
+    best = F.array_max(F.array(*(each(pitch, mode) for pitch in range(12) for mode in (0, 1))))
+    power, total = reduce(operator.add, (v * v for v in values)), reduce(operator.add, values)
+    length = F.sqrt(F.greatest(power - total * total / 12.0, F.lit(0.0)))
+    none = lambda score: F.struct(F.lit("C").alias("pitch"), F.lit("major").alias("mode"), F.lit(score).alias("score"))
+    # Bound once, as the element of an array, so that the scores are not made anew for each field.
+    found = F.get(F.transform(F.array(best), lambda b: F.struct(b["pitch"].alias("pitch"), b["mode"].alias("mode"), (b["score"] / length).alias("score"))), F.lit(0))
+    return F.when(power < 1e-16, none(0.0)).when(length < 1e-12, none(-2.0)).otherwise(found)
 
 
 def density_corrected(bpm: Column, onsets: Column, seconds: Column, low: float, high: float, most: float = 5.5, least: float = 0.4) -> Column:
