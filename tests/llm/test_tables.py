@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA, TABLES
 from tests.llm import corpus
@@ -70,7 +71,6 @@ def test_sharding_by_key(spark):
 def test_sharding_shares_and_movement(spark):
     ids = spark.range(20000).selectExpr("cast(id as string) AS id")
     weights = {3: 2.0, 7: 0.5}
-    from pyspark.sql import functions as F
 
     rows = ids.select(sharding.placed(F.col("id"), sharding.tree(40)).alias("a"), sharding.placed(F.col("id"), sharding.tree(41)).alias("b"), sharding.placed(F.col("id"), sharding.tree(40, weights=weights)).alias("w")).collect()
     count, weighed = Counter(r.a for r in rows), Counter(r.w for r in rows)
@@ -158,6 +158,24 @@ def test_training_order_round_trip(spark, tmp_path):
     assert tokenorder.in_training_order(corpus.nothing(spark)).collect() == []
 
 
+def test_training_order_is_that_of_the_documents(spark):
+    docs = corpus.documents(spark)
+    hashed = [(r.doc_id, r.h, r.text) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    stream = [(x, i) for i, _, t in sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) for x in [*tokens.encoded(t, tokens.VOCABULARY), tokens.END]]
+    cut = [stream[at : at + 128] for at in range(0, len(stream), 128)]
+    slots = tokenorder.permuted(np.arange(len(cut)), len(cut))
+    wanted = {int(s): ([x for x, _ in c], [i for n, (_, i) in enumerate(c) if n == 0 or c[n - 1][0] == tokens.END]) for s, c in zip(slots, cut, strict=True)}
+    for parts in (1, 7):
+        rows = tokenorder.in_training_order(docs.orderBy(F.desc("doc_id")).repartition(parts), length=128, per_shard=16).collect()
+        assert {r.slot: (np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist(), r.doc_ids) for r in rows} == wanted
+
+
+def test_training_order_of_one_repeated_row(spark):
+    rows = tokenorder.in_training_order(spark.range(900).selectExpr("1L AS doc_id", "'a b c' AS text"), length=16, per_shard=4).collect()
+    assert len(rows) == len({r.slot for r in rows}) and sum(len(set(r.doc_ids)) for r in rows) == len(rows)
+    assert sum(r.n_tokens for r in rows) == 900 * (len(tokens.encoded("a b c", tokens.VOCABULARY)) + 1)
+
+
 def test_registered_sql(spark):
     con = duckdb.connect()
     for name in TABLES:

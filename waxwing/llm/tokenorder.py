@@ -18,6 +18,8 @@ from .work import folder, shuffle_partitions, small_side
 
 #: Ids in a sequence, sequences in a shard, rounds of the permutation and its key.
 LENGTH, PER_SHARD, ROUNDS, KEY = 2048, 1024, 6, 20240601
+#: Ids in a part of the ordered stream.
+PART_IDS = 1 << 25
 _IDS = np.dtype("<u2")
 
 
@@ -40,46 +42,103 @@ def permuted(index: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(vocabulary: str, length: int, end: int):
+def _encoded(vocabulary: str, end: int):
+    """Each document's ids with an end id after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array([*encoded(text.as_py(), vocabulary), end], _IDS) for text in batch.column("text")]
+            made = [batch.column("id"), batch.column("hash"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["id", "hash", "n", "tokens"])
+
+    return run
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a part with its number and the ids before each row within it."""
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ends = before + np.cumsum(batch.column("n").to_numpy(zero_copy_only=False))
+        starts = np.concatenate(([before], ends[:-1])) if len(ends) else ends
+        before = int(ends[-1]) if len(ends) else before
+        made = [pa.array([part] * batch.num_rows, pa.int64()), pa.array(starts.astype(np.int64)), *(batch.column(c) for c in ("id", "n", "tokens"))]
+        yield pa.RecordBatch.from_arrays(made, ["part", "within", "id", "n", "tokens"])
+
+
+def _cut(length: int, total: int, key: int):
+    """Pieces of sequences (slot, first id's place in the sequence): whole ones but where a task's rows begin, end or jump."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, number = TaskContext.get().partitionId(), 0
-        open_ = np.full(length, end, _IDS)
-        filled, inside = 0, []
-        out: list[tuple[int, int, list, bytes]] = []
+        pieces: list[tuple[int, list, bytes]] = []
+        start, filled, inside, open_ = 0, 0, [], []
+
+        def close() -> None:
+            nonlocal start, filled, inside, open_
+            if filled:
+                pieces.append((start, inside, b"".join(open_)))
+            start, filled, inside, open_ = start + filled, 0, [], []
 
         def rows() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([file] * len(out), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], ["file", "number", "n_tokens", "doc_ids", "tokens"])
+            first = np.array([x[0] for x in pieces], np.int64)
+            made = [pa.array(permuted(first // length, total, key)), pa.array((first % length).astype(np.int32)), pa.array([x[1] for x in pieces], pa.list_(pa.int64())), pa.array([x[2] for x in pieces], pa.binary())]
+            pieces.clear()
+            return pa.RecordBatch.from_arrays(made, ["slot", "at", "doc_ids", "tokens"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                ids, at = np.array([*encoded(text.as_py(), vocabulary), end], _IDS), 0
-                while at < len(ids):
-                    n = min(length - filled, len(ids) - at)
-                    open_[filled : filled + n] = ids[at : at + n]
+            for doc, place, tokens in zip(batch.column("id").to_pylist(), batch.column("place").to_pylist(), batch.column("tokens"), strict=True):
+                if place != start + filled:
+                    close()
+                    start = place
+                ids, done = np.frombuffer(tokens.as_buffer(), _IDS), 0
+                while done < len(ids):
+                    n = min(length - start % length - filled, len(ids) - done)
+                    open_.append(ids[done : done + n].tobytes())
                     inside.append(doc)
-                    filled, at = filled + n, at + n
-                    if filled == length:
-                        out.append((number, length, inside, open_.tobytes()))
-                        number, filled, inside = number + 1, 0, []
-                        if len(out) == 2048:
-                            yield rows()
-                            out = []
-        if filled:
-            open_[filled:] = end
-            out.append((number, filled, inside, open_.tobytes()))
-        if out:
+                    filled, done = filled + n, done + n
+                    if start % length + filled == length:
+                        close()
+                if len(pieces) >= 2048:
+                    yield rows()
+        close()
+        if pieces:
             yield rows()
 
     return run
 
 
-def _slotted(total: int, key: int):
+def _joined(length: int, end: int):
+    """The pieces of each sequence, which follow each other, as one row; the corpus's last is filled up with end ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[int, int, list, bytes, int]] = []
+        now, docs, parts = None, [], []
+
+        def close() -> None:
+            ids = b"".join(parts)
+            n = len(ids) // _IDS.itemsize
+            ids += np.full(length - n, end, _IDS).tobytes()
+            made.append((now, n, docs, ids, zlib.crc32(ids)))
+
+        def rows() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            batch = [pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), kinds, strict=True)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(batch, ["slot", "n_tokens", "doc_ids", "tokens", "crc32"])
+
         for batch in batches:
-            index = batch.column("index").to_numpy(zero_copy_only=False)
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column("tokens")]
-            yield pa.RecordBatch.from_arrays([pa.array(permuted(index, total, key)), *(batch.column(c) for c in ("n_tokens", "doc_ids", "tokens")), pa.array(crc, pa.int64())], ["slot", "n_tokens", "doc_ids", "tokens", "crc32"])
+            for slot, ids, tokens in zip(batch.column("slot").to_pylist(), batch.column("doc_ids").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if slot != now:
+                    if parts:
+                        close()
+                    now, docs, parts = slot, [], []
+                docs = docs + ids if docs else ids
+                parts.append(tokens)
+                if len(made) >= 2048:
+                    yield rows()
+        if parts:
+            close()
+        if made:
+            yield rows()
 
     return run
 
@@ -87,28 +146,47 @@ def _slotted(total: int, key: int):
 def in_training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, text: str = "text", doc_id: str = "doc_id", end: int = END) -> DataFrame:
     """(shard, slot, byte_offset, n_tokens, doc_ids, crc32, tokens): every sequence of the corpus at its global slot.
 
-    Each partition's documents, an end id after each, make one stream that is cut into sequences of ``length`` 16-bit
-    ids; its last is filled up with end ids, which n_tokens leaves out. doc_ids are the documents that have ids in the
-    sequence. The streams are written once, so sequences are numbered the same however often a task reruns; slots are a
-    keyed permutation of the numbers. The result is range-partitioned by shard and ordered by slot: written as it is,
-    each shard is a run of rows of one stride in the order in which they are read, from any slot on.
+    The documents in the order of their ids (then of a hash of their texts), an end id after each, make one stream that is
+    cut into sequences of ``length`` 16-bit ids; its last is filled up with end ids, which n_tokens leaves out. doc_ids are
+    the documents that have ids in the sequence. Slots are a keyed permutation of the sequences' numbers, so the same
+    documents and key give the same shards however the input is split and on whatever cluster. The result is
+    partitioned by ranges of shards and ordered by slot: written as it is, each shard is a run of rows of one
+    stride in the order in which they are read, from any slot on.
 
-    Null and empty texts give an end id alone; repeated rows and null ids are kept; an empty table gives no rows.
+    Null and empty texts give an end id alone; repeated rows and null ids (which come first) are kept; an empty table gives
+    no rows. Texts of one id and one hash count as equal.
     """
     spark = docs.sparkSession
-    made = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_sequences(vocabulary, length, end), "file long, number long, n_tokens int, doc_ids array<long>, tokens binary")
-    path = f"{folder(spark)}/sequences"
-    made.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    made = spark.read.schema(made.schema).parquet(path)
-    # One row for each partition of the input: a bound that grows with partitions, not rows.
-    files = made.groupBy("file").agg(F.count("*").alias("n"))
-    starts = files.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("start"))
-    total = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    numbered = made.join(small_side(starts), "file").withColumn("index", F.col("start") + F.col("number"))
-    slotted = numbered.select("index", "n_tokens", "doc_ids", "tokens").mapInArrow(_slotted(total, key), "slot long, n_tokens int, doc_ids array<long>, tokens binary, crc32 long")
-    shard = slotted.withColumn("shard", F.floor(F.col("slot") / per_shard)).withColumn("byte_offset", (F.col("slot") % per_shard) * (length * _IDS.itemsize))
-    parts = max(1, min(-(-total // per_shard), 16 * shuffle_partitions(spark)))
-    return shard.repartitionByRange(parts, "shard").sortWithinPartitions("slot").select("shard", "slot", "byte_offset", "n_tokens", "doc_ids", "crc32", "tokens")
+    path = folder(spark)
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    made = texts.withColumn("hash", F.xxhash64("text")).mapInArrow(_encoded(vocabulary, end), "id long, hash long, n long, tokens binary")
+    # Rows that repeat id and text may stand in any order; the salt lets many of them be in several parts.
+    made = _written(made.withColumn("salt", F.monotonically_increasing_id()), f"{path}/encoded")
+    ids = made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = -(-ids // length)
+
+    order = ["id", "hash", "salt"]
+    parts = max(shuffle_partitions(spark), -(-ids // PART_IDS))
+    ordered = made.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "tokens")
+    ordered = _written(ordered.mapInArrow(_placed, "part long, within long, id long, n long, tokens binary"), f"{path}/ordered")
+    # One row for each part: a bound that grows with parts, not rows.
+    sizes = ordered.groupBy("part").agg(F.sum("n").alias("ids"))
+    starts = sizes.select("part", (F.sum("ids").over(W.orderBy("part")) - F.col("ids")).alias("start"))
+    placed = ordered.join(small_side(starts), "part").select("id", (F.col("start") + F.col("within")).alias("place"), "tokens")
+
+    pieces = placed.mapInArrow(_cut(length, total, key), "slot long, at int, doc_ids array<long>, tokens binary")
+    # Slots are all numbers below the total, so ranges of shards are known without a sample.
+    shards = max(1, -(-total // per_shard))
+    ranges = min(shards, 16 * shuffle_partitions(spark))
+    shard = F.floor(F.col("slot") / per_shard)
+    dealt = pieces.repartitionById(ranges, F.floor(shard * ranges / shards).cast("int")).sortWithinPartitions("slot", "at")
+    whole = dealt.mapInArrow(_joined(length, end), "slot long, n_tokens int, doc_ids array<long>, tokens binary, crc32 long")
+    return whole.select(shard.alias("shard"), "slot", ((F.col("slot") % per_shard) * (length * _IDS.itemsize)).alias("byte_offset"), "n_tokens", "doc_ids", "crc32", "tokens")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
