@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lines, mixing, neighbours, quality, sharding, suffixes, tokencount, tokenorder
+from . import decontamination, hashcodes, infilling, jaccard, lexical, lines, mixing, neighbours, quality, sharding, suffixes, tokencount, tokenorder
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -61,6 +61,21 @@ def op10_training_order(spark: SparkSession, directory: str) -> DataFrame:
     return tokenorder.in_training_order(_table(spark, directory, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, directory: str) -> DataFrame:
+    cut = infilling.with_restored(infilling.fill_in_middle(_table(spark, directory, "documents").select("doc_id", "text")).drop("text"))
+    digests = (F.sha2(c, 256).alias(f"{c[1:]}_sha256") for c in ("_output", "_restored"))
+    return cut.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")), *digests)
+
+
+def op12_embedding_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    told = hashcodes.near_duplicates(_table(spark, directory, "embeddings").select("vec_id", "embedding", "label"))
+    return told.select("vec_id", F.col("_n_links").alias("n_links"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
+
+
+def op13_lexical_search(spark: SparkSession, directory: str) -> DataFrame:
+    return lexical.ranked(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
 _ALL = (
     op1_ngram_jaccard_join,
     op2_mixing,
@@ -72,8 +87,11 @@ _ALL = (
     op8_nearest_neighbours,
     op9_token_counts,
     op10_training_order,
+    op11_fill_in_middle,
+    op12_embedding_near_dedup,
+    op13_lexical_search,
 )
-_SQL = {"op2_mixing": mixing.SQL}
+_SQL = {"op2_mixing": mixing.SQL, "op11_fill_in_middle": infilling.SQL, "op12_embedding_near_dedup": hashcodes.SQL, "op13_lexical_search": lexical.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
