@@ -71,3 +71,23 @@ TITLE_EXPRESSION = (
     "WHEN 6 THEN concat(p_name, ' (2019 Remaster)') ELSE p_name END"
 )
 TITLES_SQL = f"(SELECT p_partkey AS id, p_brand AS artist, {TITLE_EXPRESSION} AS title FROM part)"
+
+
+def prints(spark: SparkSession, directory: str) -> DataFrame:
+    """(id, words) from ``documents``: a fingerprint of four 32-bit words, in which a bit is set if more than half of the
+    text's words have it set in their MD5. Texts without words have none."""
+    words = table(spark, directory, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))).alias("word"))
+    hashed = words.withColumn("hash", F.md5("word"))
+    parts = hashed.select("doc_id", *(F.conv(F.substring("hash", 8 * j + 1, 8), 16, 10).cast("long").alias(f"h{j}") for j in range(4)))
+    votes = parts.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(f"h{j}", i).bitwiseAND(1)).alias(f"b{j}_{i}") for j in range(4) for i in range(32)))
+    word = lambda j: sum((F.when(F.col(f"b{j}_{i}") * 2 > F.col("n"), 1 << i).otherwise(0).cast("long") for i in range(32)), F.lit(0).cast("long"))
+    return votes.select(F.col("doc_id").alias("id"), F.array(*(word(j) for j in range(4))).alias("words"))
+
+
+_BIT = "(CASE WHEN sum((h{j} >> {i}) & 1) * 2 > count(*) THEN {v} ELSE 0 END)"
+_WORDS = ", ".join("(" + " + ".join(_BIT.format(j=j, i=i, v=1 << i) for i in range(32)) + ")::BIGINT" for j in range(4))
+PRINTS_SQL = (
+    f"(SELECT doc_id AS id, [{_WORDS}] AS words FROM (SELECT doc_id, "
+    + ", ".join(f"('0x' || substring(md5(word), {8 * j + 1}, 8))::BIGINT AS h{j}" for j in range(4))
+    + r" FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS word FROM documents)) GROUP BY doc_id)"
+)
