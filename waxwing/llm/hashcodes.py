@@ -166,7 +166,7 @@ def linked(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, visits: np.n
                 yield a[once], b[once]
 
 
-def _forest(nodes: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> None:
+def _forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> None:
     """Hang the roots of linked places together, the least place on top."""
     while True:
         low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
@@ -197,7 +197,7 @@ def _group(rotations: dict[int, Rotation], cosine: float):
         for a, b in linked(vectors, rows.column("norm").to_numpy(), ids, *flags, rotation, range(TABLES) if table < 0 else [table], cosine):
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            _forest(len(ids), a, b, root)
+            _forest(a, b, root)
         some = np.flatnonzero(links)
         return pa.table({"node": ids[some], "links": links[some], "over": ids[root[some]]})
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ BLOCK, DOCUMENTS = 1 << 22, 4096
 ITEMS, ITEM_TERMS = 1024, 500_000
 #: Cells of a block's matrix of terms and documents that a task holds at once.
 CELLS = 1 << 22
+#: A bound this near to the kth counts as reaching it.
+SLACK = 1 - 2**-30
 K = 10
 
 _TERM = np.zeros(256, bool)
@@ -64,12 +67,12 @@ def _lower(levels: np.ndarray) -> np.ndarray:
     return np.maximum(levels.astype(np.int64) - 1, 0) * MOST // STEPS
 
 
-def _slices(frame: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about BLOCK bytes and at most DOCUMENTS rows."""
+def _slices(frame: pa.RecordBatch, sizes: np.ndarray, block: int = BLOCK, documents: int = DOCUMENTS) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most so many bytes, but for a longer single row, and so many rows."""
     ends, row = np.cumsum(sizes), 0
     while row < len(sizes):
         before = int(ends[row - 1]) if row else 0
-        end = max(row + 1, min(row + DOCUMENTS, int(np.searchsorted(ends, before + BLOCK, "right"))))
+        end = max(row + 1, min(row + documents, int(np.searchsorted(ends, before + block, "right"))))
         yield frame.slice(row, end - row)
         row = end
 
@@ -94,8 +97,6 @@ def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
     return pc.binary_length(column).to_numpy(zero_copy_only=False)
 
 
@@ -121,7 +122,7 @@ def _indexed(figures: Collection):
 
         block = TaskContext.get().partitionId() << 32
         for frame in frames:
-            for part in _slices(frame, _sizes(frame.column(1))):
+            for part in _slices(frame, _sizes(frame.column(1)), BLOCK, DOCUMENTS):
                 found, rows = terms_of(part.column(1))
                 if not len(found):
                     continue
@@ -237,14 +238,14 @@ def _bounded(shared, k: int):
                 for low in range(0, len(asked.ids), 256):
                     high = min(low + 256, len(asked.ids))
                     weights = asked.matrix(low, high, columns[order])
-                    # Whole numbers below 2**53: the products are exact.
+                    # Whole numbers, exact below 2**53; SLACK covers what larger sums round.
                     cells[row[here], place[here] - first] = _upper(level[here])
                     upper = weights @ cells
                     cells[row[here], place[here] - first] = _lower(level[here])
                     lower = weights @ cells
                     near = np.concatenate((best[low:high], lower), axis=1)
                     best[low:high] = np.partition(near, near.shape[1] - k, axis=1)[:, -k:]
-                    i, d = np.nonzero((upper > 0) & (upper >= best[low:high].min(axis=1)[:, None]))
+                    i, d = np.nonzero((upper > 0) & (upper >= best[low:high].min(axis=1)[:, None] * SLACK))
                     if len(i):
                         yield pa.RecordBatch.from_pydict({"item": pa.array((i + low).astype(np.int32)), "block": pa.array(np.full(len(i), block)), "doc": pa.array(held[first + d]), "upper": pa.array(upper[i, d].astype(np.int64)), "lower": pa.array(lower[i, d].astype(np.int64))})
 
@@ -257,7 +258,7 @@ def _exact(shared, figures: Collection):
         asked: Asked = shared.value
         if not wanted.num_rows or not rows.num_rows:
             return pa.table({"item": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        heads = rows.filter(pa.compute.is_null(rows.column("term"))).combine_chunks()
+        heads = rows.filter(pc.is_null(rows.column("term"))).combine_chunks()
         held, ids, ns = (heads.column(c).combine_chunks().flatten() for c in ("docs", "ids", "ns"))
         size_of = dict(zip(held.to_pylist(), ns.to_pylist(), strict=True))
         id_of = dict(zip(held.to_pylist(), ids.to_pylist(), strict=True))
@@ -266,7 +267,7 @@ def _exact(shared, figures: Collection):
         items, docs = items[order], docs[order]
         distinct, place = np.unique(docs, return_inverse=True)
         n = np.array([size_of[d] for d in distinct.tolist()], np.int64)
-        postings = rows.filter(pa.compute.is_valid(rows.column("term"))).combine_chunks()
+        postings = rows.filter(pc.is_valid(rows.column("term"))).combine_chunks()
         terms, lists, counts = (postings.column(c).combine_chunks() for c in ("term", "docs", "tfs"))
         column = np.repeat(np.array([asked.terms[t] for t in terms.to_pylist()], np.int64), np.diff(lists.offsets.to_numpy()))
         at, tf = lists.flatten().to_numpy(), counts.flatten().to_numpy()
@@ -291,7 +292,7 @@ def _exact(shared, figures: Collection):
     return run
 
 
-def _asked(spark: SparkSession, rows: list, weights: dict[str, int]) -> Asked:
+def _asked(rows: list, weights: dict[str, int]) -> Asked:
     ids = sorted({r["item_id"] for r in rows}, key=lambda x: (x is None, x or 0))
     terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
     number = {x: i for i, x in enumerate(ids)}
@@ -330,7 +331,7 @@ def search(held: Index, items: DataFrame, k: int = K, item_id: str = "item_id",
         rows = asked.filter(F.col("round") == r).collect()
         if not rows:
             continue
-        round_ = _asked(spark, rows, {x["term"]: held.figures.weight(x["df"]) for x in rows})
+        round_ = _asked(rows, {x["term"]: held.figures.weight(x["df"]) for x in rows})
         shared = spark.sparkContext.broadcast(round_)
         words = small_side(spark.createDataFrame([(t,) for t in round_.terms], "term string"))
         level = held.table.select("block", "term", "docs", "levels").join(words, "term", "left_semi")
@@ -341,7 +342,7 @@ def search(held: Index, items: DataFrame, k: int = K, item_id: str = "item_id",
         lows = lows.withColumn("nth", F.row_number().over(W.partitionBy("item", "part").orderBy(F.desc("lower")))).filter(F.col("nth") <= k)
         lows = lows.withColumn("nth", F.row_number().over(W.partitionBy("item").orderBy(F.desc("lower")))).filter(F.col("nth") == k).select("item", F.col("lower").alias("least"))
         # At most as many rows as items in a round.
-        wanted = staged(near.join(F.broadcast(lows), "item", "left").filter("least is null or upper >= least").select("item", "block", "doc"), f"{path}/{r}/wanted")
+        wanted = staged(near.join(F.broadcast(lows), "item", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least") * SLACK)).select("item", "block", "doc"), f"{path}/{r}/wanted")
         second = held.table.select("block", "term", "docs", "tfs", "ids", "ns").join(small_side(wanted.select("block").distinct()), "block", "left_semi")
         second = second.filter("term is not null").join(words, "term", "left_semi").unionByName(second.filter("term is null"))
         scored = wanted.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(_exact(shared, held.figures), "item int, doc_id long, score long")
