@@ -16,9 +16,9 @@ _STAGES = f"""WITH lined AS (
 marked AS (SELECT *, before IS NULL OR us - before > CASE WHEN last IN ('purchase', 'error') THEN {_KEEP} ELSE {_ABANDONED} END * 1000000 AS new FROM lined),
 lives AS (SELECT *, sum(new::BIGINT) OVER (PARTITION BY key ORDER BY ts, event_id, stage ROWS UNBOUNDED PRECEDING)::BIGINT AS life FROM marked),
 told AS (
-  SELECT key, life, row_number() OVER w AS nth, stage, ts AS at, array_to_string(list(stage) OVER w, '>') AS stages FROM lives WHERE new OR last <> stage
+  SELECT key, life, row_number() OVER w AS nth, stage, ts AS moment, array_to_string(list(stage) OVER w, '>') AS stages FROM lives WHERE new OR last <> stage
   WINDOW w AS (PARTITION BY key, life ORDER BY ts, event_id, stage ROWS UNBOUNDED PRECEDING))
-SELECT key, life, nth, stage, epoch_us(at) AS at, stages FROM told"""
+SELECT key, life, nth, stage, epoch_us(moment) AS "at", stages FROM told"""
 
 
 def _shown(df):
@@ -30,7 +30,7 @@ def stage_history(spark, d):
     return _shown(lifecycle.stages(table(spark, d, "events"), "user_id", "ts", "event_type", ["event_id"], _FINISHED, _KEEP, _ABANDONED))
 
 
-@query("stage_stream", f"{_STAGES} WHERE at <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
+@query("stage_stream", f"{_STAGES} WHERE moment <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def stage_stream(spark, d):
     """The same from a stream of the table's files, to where the watermark comes: an hour before the last event."""
     path, events = folder(spark), table(spark, d, "events")
