@@ -13,7 +13,7 @@ _FINISHED, _KEEP, _ABANDONED = ("purchase", "error"), 1800, 21600
 _STAGES = f"""WITH lined AS (
   SELECT user_id::VARCHAR AS key, ts, event_id, event_type AS stage, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS before, lag(event_type) OVER w AS last FROM events
   WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id, event_type)),
-marked AS (SELECT *, before IS NULL OR us - before > CASE WHEN last IN ('purchase', 'error') THEN {_KEEP} ELSE {_ABANDONED} END * 1000000 AS new FROM lined),
+marked AS (SELECT *, before IS NULL OR us - before > CASE WHEN last IN ('purchase', 'error') THEN {_KEEP} ELSE {_ABANDONED} END * 1000000::BIGINT AS new FROM lined),
 lives AS (SELECT *, sum(new::BIGINT) OVER (PARTITION BY key ORDER BY ts, event_id, stage ROWS UNBOUNDED PRECEDING)::BIGINT AS life FROM marked),
 told AS (
   SELECT key, life, row_number() OVER w AS nth, stage, ts AS moment, array_to_string(list(stage) OVER w, '>') AS stages FROM lives WHERE new OR last <> stage
