@@ -32,9 +32,10 @@ def stage_history(spark, d):
 
 @query("stage_stream", f"{_STAGES} WHERE moment <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def stage_stream(spark, d):
-    """The same from a stream of the table's files, to where the watermark comes: an hour before the last event."""
+    """The same from the table as a stream, to where the watermark comes: an hour before the last event."""
     path, events = folder(spark), table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    events.write.parquet(f"{path}/in")  # a stream reads folders, and the table may be one file
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
     with lifecycle.state_store(spark):
         told = lifecycle.tracked(stream, "user_id", "ts", "event_type", ["event_id"], "1 hour", _FINISHED, _KEEP, _ABANDONED)
         run = told.writeStream.format("parquet").option("path", f"{path}/told").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
