@@ -34,7 +34,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 #: The modules that register queries.
-MODULES = ("predicates", "joins", "text", "music", "sequences", "similarity", "catalogue", "streams")
+MODULES = ("predicates", "joins", "text", "music", "sequences", "similarity", "catalogue", "streams", "sources")
 
 
 def _load() -> None:
