@@ -148,6 +148,36 @@ def parse_rules(xml: str) -> tuple[bool, list[Rule]] | None:
         return None
 
 
+#: The attributes of a stored list and of its conditions, and what counts where one is absent.
+LIST_ATTRIBUTES = {"LogicalOperator": "all", "AutomaticUpdate": "1"}
+CONDITION_ATTRIBUTES = {"Field": "", "Operator": "1", "ValueLeft": "", "ValueRight": "", "ValueUnit": "0"}
+
+
+def criteria(xml: Column) -> Column:
+    """A column of stored lists as structs of their attributes and ``conditions``; null for what can't be read."""
+    names = lambda known: ", ".join(f"_{n}: string" for n in known)
+    inner = f"array<struct<{names(CONDITION_ATTRIBUTES)}>>"
+    shape = f"{', '.join(f'_{n} string' for n in LIST_ATTRIBUTES)}, CONDITION {inner}, _corrupt_record string"
+    read = F.from_xml(xml, shape, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    fill = lambda x, known: [F.coalesce(x[f"_{n}"], F.lit(other)).alias(n) for n, other in known.items()]
+    conditions = F.transform(F.coalesce(read["CONDITION"], F.array().cast(inner)), lambda c: F.struct(*fill(c, CONDITION_ATTRIBUTES)))
+    return F.when(xml.isNotNull() & read["_corrupt_record"].isNull(), F.struct(*fill(read, LIST_ATTRIBUTES), conditions.alias("conditions")))
+
+
+def criteria_xml(found: Column) -> Column:
+    """What ``criteria`` reads, as XML again; null stays null."""
+    marks = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;"))
+
+    def escaped(value: Column) -> Column:
+        for plain, mark in marks:
+            value = F.replace(value, F.lit(plain), F.lit(mark))
+        return value
+
+    attributes = lambda x, known: [part for n in known for part in (F.lit(f' {n}="'), escaped(x[n]), F.lit('"'))]
+    inner = F.array_join(F.transform(found["conditions"], lambda c: F.concat(F.lit("<CONDITION"), *attributes(c, CONDITION_ATTRIBUTES), F.lit("/>"))), "")
+    return F.concat(F.lit("<SmartList"), *attributes(found, LIST_ATTRIBUTES), F.lit(">"), inner, F.lit("</SmartList>"))
+
+
 def unsigned_id(value: str | None) -> str | None:
     """A 32-bit id in unsigned form; what is no number stays."""
     try:

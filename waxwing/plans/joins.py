@@ -294,10 +294,10 @@ def reorder(spark, d):
     return rows.select(F.col("l_orderkey").alias("pid"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("track_id"), place.cast("long").alias("new_pos"))
 
 
-@query("sample_n")
+@query("sample_n", "SELECT p_partkey AS id, p_name AS title FROM part ORDER BY md5(p_partkey || ':7'), p_partkey LIMIT 100")
 def sample_n(spark, d):
     """A sample of 100 that depends on the ids and a seed only."""
-    return tracks(spark, d).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(100).select("id", "title")
+    return tracks(spark, d).orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":7"))), "id").limit(100).select("id", "title")
 
 
 @query("scope_dedup", "SELECT id, min(pos) AS pos FROM (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem) GROUP BY 1")

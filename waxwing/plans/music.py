@@ -186,3 +186,12 @@ def accuracy_summary(spark, d):
     near = lambda r: F.abs(F.col("ours") - F.col("rb") * r) / (F.col("rb") * r) <= 0.04
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return _bpms(spark, d).groupBy((F.col("id") % 5).alias("band")).agg(F.count("*").alias("n"), share(near(1.0)).alias("acc1"), share(near(1.0) | near(2.0) | near(0.5)).alias("acc2"))
+
+
+@query("resample_nearest", "SELECT vec_id, list_transform(range(ceil(len(embedding) / (r / 16000.0::DOUBLE))::BIGINT), lambda i: embedding[least(floor(i * (r / 16000.0::DOUBLE))::BIGINT, len(embedding) - 1) + 1])::VARCHAR AS samples FROM (SELECT *, CASE vec_id % 4 WHEN 0 THEN 16000 WHEN 1 THEN 44100 WHEN 2 THEN 48000 ELSE 11025 END AS r FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(x * 1000)::INTEGER) AS embedding FROM embeddings))")
+def resample_nearest(spark, d):
+    """Vectors as samples of four rates, brought to one."""
+    rate = F.element_at(F.array(*map(F.lit, (16000, 44100, 48000, 11025))), (F.col("vec_id") % 4 + 1).cast("int"))
+    whole = F.transform("embedding", lambda x: F.floor(x * 1000).cast("int"))
+    told = M.resample_nearest(whole, rate, 16000)
+    return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(told, ", "), F.lit("]")).alias("samples"))

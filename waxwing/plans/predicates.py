@@ -200,3 +200,19 @@ def unanalyzed(spark, d):
 def queue_untagged(spark, d):
     comment = F.when(F.col("doc_id") % 5 == 1, F.lit("  ")).when(F.col("doc_id") % 5 != 2, F.col("lang"))
     return table(spark, d, "documents").withColumn("comment", comment).filter(F.trim(F.coalesce("comment", F.lit(""))) == "").select(F.col("doc_id").alias("id"))
+
+
+@query(
+    "criteria_round_trip",
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CASE WHEN p_size % 2 = 0 THEN 'any' ELSE 'all' END END AS logic, CASE WHEN p_partkey % 11 > 0 THEN '0' END AS automatic,
+  CASE WHEN p_partkey % 11 > 0 THEN '8 3 ' || p_size || ' <' || p_name || '> & "q" 0' || CASE WHEN p_size % 2 = 0 THEN '; 2 1  x 4' ELSE '' END END AS conditions, p_partkey % 11 > 0 AS same FROM part""",
+)
+def criteria_round_trip(spark, d):
+    """Rules of stored lists from XML to structs, back to XML and to structs again; every eleventh is no XML."""
+    attributes = F.concat(F.lit('Operator="3" Field="8" ValueLeft="'), F.col("p_size").cast("string"), F.lit('" ValueRight="&lt;'), F.col("p_name"), F.lit('&gt; &amp; &quot;q&quot;"'))
+    even = F.col("p_size") % 2 == 0
+    xml = F.concat(F.lit("<SmartList "), F.when(even, 'LogicalOperator="any" ').otherwise(""), F.lit('AutomaticUpdate="0"><CONDITION '), attributes, F.lit("/>"), F.when(even, '<CONDITION Field="2" ValueRight="x" ValueUnit="4"/>').otherwise(""), F.when(F.col("p_partkey") % 11 == 0, "<Smart").otherwise("</SmartList>"))
+    read = table(spark, d, "part").select(F.col("p_partkey").alias("id"), P.criteria(xml).alias("c"))
+    read = read.withColumn("again", P.criteria(P.criteria_xml(F.col("c"))))
+    shown = F.array_join(F.transform("c.conditions", lambda x: F.concat_ws(" ", x["Field"], x["Operator"], x["ValueLeft"], x["ValueRight"], x["ValueUnit"])), "; ")
+    return read.select("id", F.col("c.LogicalOperator").alias("logic"), F.col("c.AutomaticUpdate").alias("automatic"), shown.alias("conditions"), F.coalesce(F.col("c") == F.col("again"), F.lit(False)).alias("same"))
