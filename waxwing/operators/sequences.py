@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,18 +122,44 @@ def matched_within(reference: Iterable[float], found: Iterable[float], tolerance
     return pairs
 
 
-def match_scores(df: DataFrame, group: str, at: str, ours: str, tolerance: float) -> DataFrame:
-    """(group, f_measure, median_error) of our times against the others, each used once."""
+def matched_pairs(df: DataFrame, group: str, at: str, ours: str, tolerance: float) -> DataFrame:
+    """(group, reference, found) of one-to-one matches: each of the other times in order takes the nearest of ours within
+    the tolerance that is left, the earlier one on a tie. Rows without time go; null counts as the other's; a null
+    group matches nothing.
+
+    Times meet by bins of twice the tolerance, so that rounding can't part them. A choice depends on those before it only as far as times lie within the
+    tolerance of each other, so a group is cut wherever there is a wider gap, and each piece is folded in order in the JVM.
+    """
+    line = W.partitionBy(group).orderBy("t", "o", "i")
+    rows = df.select(F.col(group), F.col(at).cast("double").alias("t"), F.coalesce(F.col(ours), F.lit(False)).alias("o")).filter(F.col("t").isNotNull())
+    # Equal times are told apart by their number.
+    rows = rows.withColumn("i", F.row_number().over(W.partitionBy(group, "o").orderBy("t")))
+    cut = F.coalesce(F.col("t") - F.lag("t").over(line) > tolerance, F.lit(True)).cast("long")
+    rows = rows.withColumn("cut", cut).withColumn("piece", F.sum("cut").over(line)).drop("cut").withColumn("bin", F.floor(F.col("t") / (2 * tolerance or 1.0)))
+    others, mine = rows.filter(~F.col("o")), rows.filter("o")
+    near = others.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    mine = mine.select(F.col(group), "bin", F.col("t").alias("u"), F.col("i").alias("j"))
+    gap = F.abs(F.col("u") - F.col("t"))
+    choices = near.join(mine, [group, "bin"]).filter(gap <= tolerance).groupBy(group, "piece", "t", "i")
+    choices = choices.agg(F.array_sort(F.collect_list(F.struct(gap.alias("gap"), "j", "u"))).alias("near"))
+    pieces = choices.groupBy(group, "piece").agg(F.array_sort(F.collect_list(F.struct("t", "i", "near"))).alias("rows"))
+    none = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<reference: double, found: double>>").alias("pairs"))
+
+    def step(acc: Column, row: Column) -> Column:
+        best = F.get(F.filter(row["near"], lambda x: ~F.array_contains(acc["used"], x["j"])), F.lit(0))
+        pair = F.struct(row["t"].alias("reference"), best["u"].alias("found"))
+        return F.when(best.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(best["j"])).alias("used"), F.concat(acc["pairs"], F.array(pair)).alias("pairs")))
+
+    return pieces.select(group, F.explode(F.aggregate("rows", none, step, lambda acc: acc["pairs"])).alias("p")).select(group, "p.reference", "p.found")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame.loc[~frame[ours], at].tolist(), frame.loc[frame[ours], at].tolist()
-        pairs = matched_within(a, b, tolerance)
-        f = 2 * len(pairs) / (len(a) + len(b)) if a or b else 0.0
-        error = float(pd.Series([abs(x - y) for x, y in pairs]).median()) if pairs else None
-        return pd.DataFrame({group: [frame[group].iloc[0]], "f_measure": [f], "median_error": [error]})
 
-    kind = dict(df.dtypes)[group]
-    return df.groupBy(group).applyInPandas(run, f"{group} {kind}, f_measure double, median_error double")
+def match_scores(df: DataFrame, group: str, at: str, ours: str, tolerance: float) -> DataFrame:
+    """(group, f_measure, median_error) of our times against the others, each used once; the error is null without a match."""
+    total = df.filter(F.col(at).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    pairs = matched_pairs(df, group, at, ours, tolerance).withColumnRenamed(group, f"{group}_matched")
+    found = pairs.groupBy(f"{group}_matched").agg(F.count("*").alias("m"), F.median(F.abs(F.col("found") - F.col("reference"))).alias("median_error"))
+    both = total.join(found, total[group].eqNullSafe(found[f"{group}_matched"]), "left")
+    return both.select(group, (F.lit(2.0) * F.coalesce("m", F.lit(0)) / F.col("n")).alias("f_measure"), "median_error")
 
 
 def local_peak(df: DataFrame, group: str, order: Sequence[str], value: str, reach: int = 2) -> Column:

@@ -281,10 +281,23 @@ def tempo_anchors(spark, d):
     return S.change_points(_timed(spark, d).withColumn("t", F.col("t") / 1e6), "user_id", "t", "value", 50.0, 7200.0, 0.5)
 
 
-@query("beat_f_measure")
+_MATCHED = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS t, event_type = 'purchase' AS sure FROM events),
+refs AS MATERIALIZED (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM e WHERE NOT sure),
+dets AS MATERIALIZED (SELECT user_id, list({'j': j, 't': t} ORDER BY j) AS d FROM (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS j FROM e WHERE sure) GROUP BY user_id),
+a AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS used, []::DOUBLE[] AS gaps FROM e
+  UNION ALL SELECT user_id, n, CASE WHEN c IS NULL THEN used ELSE list_append(used, c.j) END, CASE WHEN c IS NULL THEN gaps ELSE list_append(gaps, c.gap) END
+  FROM (SELECT a.user_id, refs.n, used, gaps, list_sort(list_transform(list_filter(coalesce(d, []), lambda x: abs(x.t - refs.t) <= 1800.0 AND NOT list_contains(used, x.j)), lambda x: {'gap': abs(x.t - refs.t), 'j': x.j}))[1] AS c
+    FROM a JOIN refs ON refs.user_id = a.user_id AND refs.n = a.n + 1 LEFT JOIN dets ON dets.user_id = a.user_id))
+SELECT a.user_id, round(2.0 * len(gaps) / total, 9) AS f_measure, round(list_median(gaps), 6) AS median_error
+FROM a JOIN (SELECT user_id, count(*) AS total, count(*) FILTER (NOT sure) AS n FROM e GROUP BY user_id) USING (user_id, n)"""
+
+
+@query("beat_f_measure", _MATCHED)
 def beat_f_measure(spark, d):
     both = _timed(spark, d).select("user_id", (F.col("t") / 1e6).alias("t"), "sure")
-    return S.match_scores(both, "user_id", "t", "sure", 1800.0)
+    scores = S.match_scores(both, "user_id", "t", "sure", 1800.0)
+    return scores.select("user_id", F.round("f_measure", 9).alias("f_measure"), F.round("median_error", 6).alias("median_error"))
 
 
 @query("local_peak", "SELECT event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / max(value) OVER (PARTITION BY user_id), 3) AS peak FROM events")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from waxwing.operators import outcomes
 from waxwing.operators.staging import folder
 from waxwing.plans.registry import query, table
-from waxwing.sources import plugins, projects
+from waxwing.sources import catalog, plugins, projects, sinks
+from waxwing.sources.adapters import TRACKS_SQL, entries, nodes, tracks
+from waxwing.streaming import ingest
 
 
 @query(
@@ -62,3 +64,46 @@ def typed_failures(spark, d):
     first = outcomes.outcome(F.col("value"), (outcomes.MISSING, F.col("event_type") == "signup", F.col("event_type")), (outcomes.TIMEOUT, F.col("value") > 100, F.col("value")))
     second = outcomes.then(first, lambda v: v / F.nullif(k % 10, F.lit(0)), (outcomes.DECODE, k % 10 == 0, F.col("props")))
     return table(spark, d, "events").select("event_id", second.alias("o")).select("event_id", F.col("o.error.kind").alias("kind"), F.round("o.value", 6).alias("score"))
+
+
+@query(
+    "collection_round_trip",
+    f"SELECT id::VARCHAR AS id, title, artist, round(bpm, 6) AS bpm, rating, bitrate, path, 2::BIGINT AS beats FROM {TRACKS_SQL}",
+)
+def collection_round_trip(spark, d):
+    """The catalogue as collection XML with two beats a track, read back."""
+    beat = lambda at: F.struct(F.lit(at).alias("time"), F.col("bpm"), F.lit(1).alias("beat"), F.lit("4/4").alias("metro"))
+    path = folder(spark)
+    sinks.write_tracks(tracks(spark, d).withColumn("beats", F.array(beat(0.1), beat(0.6))), path)
+    return catalog.read_tracks(spark, path).select("id", "title", "artist", F.round("bpm", 6).alias("bpm"), "rating", "bitrate", "path", F.size("beats").cast("long").alias("beats"))
+
+
+@query(
+    "selection_round_trip",
+    f"SELECT id::VARCHAR AS id, title, (SELECT count(DISTINCT p_partkey) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 5 = 2))::BIGINT AS written FROM {TRACKS_SQL} WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 5 = 2)",
+)
+def selection_round_trip(spark, d):
+    """The tracks of every fifth playlist as collection XML, counted while written, read back."""
+    path = folder(spark)
+    held = entries(spark, d).withColumn("pid", F.col("pid") % 5)
+    written = sinks.restricted_export(tracks(spark, d), held, [2], path)
+    return catalog.read_tracks(spark, path).select("id", "title", F.lit(written).cast("long").alias("written"))
+
+
+@query("stream_ingest", "SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id % 3 > 0 GROUP BY user_id")
+def stream_ingest(spark, d):
+    """Events as files of a watched folder, at most two a batch: each new user once, known ones never."""
+    path, events = folder(spark), table(spark, d, "events").select("event_id", "user_id")
+    for part in range(4):  # folders below the watched one
+        events.filter(F.col("event_id") % 4 == part).write.parquet(f"{path}/in/day{part}")
+    known = events.filter("user_id % 3 = 0").select("user_id").distinct()
+    stream = ingest.watched(spark, f"{path}/in", events.schema, per_trigger=2)
+    firsts = stream.join(known, "user_id", "left_anti").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+    def replace(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/out/{number % 2}")
+        replace.last = number % 2
+
+    run = firsts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/out/{replace.last}").select("user_id", "event_id")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable, Collection
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waxwing.operators.hierarchy import paths
@@ -58,3 +61,41 @@ def playlist_lines(nodes: DataFrame, entries: DataFrame) -> DataFrame:
 def write_playlists(nodes: DataFrame, entries: DataFrame, path: str) -> None:
     """The playlist tree as XML in text files, which follow each other in the order of their names; nothing is collected."""
     playlist_lines(nodes, entries).orderBy("at").select("line").write.mode("overwrite").text(path)
+
+
+class EmptySelection(ValueError):
+    """A restricted export would hold no track."""
+
+
+def moved(df: DataFrame, source: str, target: str) -> None:
+    """Rename a written folder on the file system that it lies on; the target gives way."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    system = old.getFileSystem(conf)
+    system.delete(new, True)
+    if not system.rename(old, new):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def restricted_export(tracks: DataFrame, entries: DataFrame, playlists: Collection | None, path: str, write: Callable[[DataFrame, str], None] = write_tracks, key: str = "id") -> int:
+    """Write the tracks of some playlists' entries (pid, track_id), of all where ``playlists`` is None, and give their number.
+
+    The rows are counted while they are written, beside the target, and only then put in its place: playlists that hold no
+    known track raise EmptySelection and leave an earlier export as it was. Nothing is read twice. A track of several
+    playlists counts once; unknown playlists and entries without a track are left out.
+    """
+    chosen = tracks
+    if playlists is not None:
+        wanted = entries.filter(F.col("pid").isin(*playlists)) if playlists else entries.limit(0)
+        chosen = tracks.join(wanted.select(F.col("track_id").alias(key)), key, "left_semi")
+    seen = Observation(f"export-{uuid.uuid4().hex}")
+    beside = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    write(chosen.observe(seen, F.count(F.lit(1)).alias("rows")), beside)
+    count = int(seen.get["rows"])
+    if not count and playlists is not None:
+        jvm = tracks.sparkSession._jvm
+        part = jvm.org.apache.hadoop.fs.Path(beside)
+        part.getFileSystem(tracks.sparkSession._jsc.hadoopConfiguration()).delete(part, True)
+        raise EmptySelection(f"no track in the {len(playlists)} playlists")
+    moved(tracks, beside, path)
+    return count
