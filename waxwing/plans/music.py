@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waxwing.functions import music as M
+from waxwing.operators import loudness
 from waxwing.plans.registry import query, table
 
 _KEYS = "(SELECT p_partkey AS id, (p_partkey % 14) || (CASE WHEN p_size % 3 = 0 THEN 'a' WHEN p_size % 3 = 1 THEN 'B' ELSE 'C' END) AS a, ' ' || (p_partkey // 14 % 13) || (CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'b' END) AS b FROM part)"
@@ -195,3 +196,14 @@ def resample_nearest(spark, d):
     whole = F.transform("embedding", lambda x: F.floor(x * 1000).cast("int"))
     told = M.resample_nearest(whole, rate, 16000)
     return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(told, ", "), F.lit("]")).alias("samples"))
+
+
+@query("loudness_lufs")
+def loudness_lufs(spark, d):
+    """The texts' bytes heard as 16-bit samples of 8 kHz, in chunks of a second."""
+    size = 16000
+    texts = table(spark, d, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"))
+    last = F.floor(F.greatest(F.octet_length("b") - 1, F.lit(0)) / size).cast("int")
+    chunks = texts.select(F.col("doc_id").alias("track"), F.lit(0).alias("channel"), "b", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    chunks = chunks.select("track", "channel", "chunk", F.substring("b", F.col("chunk") * size + 1, F.lit(size)).alias("samples"))
+    return loudness.integrated_loudness(chunks, 8000, size // 2).withColumnRenamed("track", "doc_id")
