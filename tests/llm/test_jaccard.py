@@ -156,3 +156,20 @@ def test_components_of_a_chain_a_star_and_loops(spark, tmp_path):
     roots = {r.node: r.root for r in found}
     assert all(roots[i] == 0 for i in range(1, 61)) and all(roots[i] == 100 for i in range(101, 140)) and roots[201] == 200
     assert len(found) == len(roots)
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    """Each component with an id keeps one row that has one: none is lost with another row of its id, none stays twice."""
+    text = lambda seed: " ".join(f"{seed}w{i}" for i in range(60))
+    near = lambda seed, n: " ".join([*text(seed).split(), *(f"more{n}x{i}" for i in range(3))])
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(3)).collect())
+    a, b = text("a"), text("b")
+    assert kept([(1, a, 0), (5, a, 0), (5, b, 0)]) == [(1, a), (5, b)]
+    assert len(kept([(5, a, 0), (5, near("a", 1), 0)])) == 1
+    assert kept([(5, a, 0), (5, b, 0), (7, near("a", 1), 0), (8, near("b", 2), 0)]) == [(5, a), (5, b)]
+    assert kept([(5, a, 0), (5, a, 1), (5, "", 0), (5, "", 0), (6, "", 0)]) == [(5, ""), (5, ""), (5, a), (6, "")]
+    # Over any table: the rows kept are one of each component with an id, by brute force over the components.
+    docs = corpus.documents(spark)
+    whole = jaccard._members(docs, "text", "doc_id").filter("doc_id is not null and n_shingles > 0").collect()
+    after = jaccard._members(jaccard.keep_first(docs), "text", "doc_id").filter("doc_id is not null and n_shingles > 0").collect()
+    assert {r.root for r in after} <= {r.cls for r in whole} and len(after) == len({r.root for r in whole})

@@ -31,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waxwing.operators.components import components
 
 from .textkit import U, mix, shingle_sets
-from .work import folder, shuffle_partitions, small_side, staged, text_bytes
+from .work import folder, private, shuffle_partitions, small_side, staged, text_bytes
 
 #: Keys of at most so many documents give all their pairs, which is at most 28 each.
 FEW = 8
@@ -332,6 +333,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     link to nothing. Repeated rows and ids come back as often as they are there and link by their texts; a null doc_id
     gets the component of its text like any other, but names none. Other columns are ignored.
     """
+    return _members(docs, text, doc_id).select("doc_id", "n_shingles", "component_id")
+
+
+def _members(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, n_shingles, cls, root, component_id) for every row; ``root`` tells components apart, which may share an id."""
     spark = docs.sparkSession
     path = folder(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
@@ -369,19 +375,39 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     grouped = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    member = grouped.join(named, "root").select("cls", "component_id")
-    return profiles.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(member, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    member = grouped.join(named, "root").select("cls", "root", "component_id")
+    return profiles.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(member, "cls", "left").select("doc_id", "n_shingles", "cls", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classed(names: list[str], text: str, cls: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [set_class(s) if len(s) else None for _, s in shingle_sets(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(own, pa.int64())], [*names, cls])
+
+    return run
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component of near duplicates: that of the smallest doc_id.
 
-    Rows without shingles all stay, and so do rows with a null doc_id; of rows that repeat both id and text one stays.
+    Rows without shingles all stay, and so do rows with a null doc_id. Where an id repeats, its rows are told apart by their
+    shingle sets: of a component's rows of the smallest id the least set stays, and of rows that repeat both one stays. So
+    each component with an id keeps exactly one row that has one.
     """
-    gone = jaccard_components(docs, text, doc_id).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small_side(staged(gone, f"{folder(docs.sparkSession)}/gone"))
-    left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
-    # Seen from the ids alone; the texts move only if some id repeats.
-    if left.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("_rows")).filter("_rows > 1").isEmpty():
+    path = folder(docs.sparkSession)
+    held = staged(_members(docs, text, doc_id).filter("doc_id is not null"), f"{path}/members")
+    repeated = staged(held.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), f"{path}/repeated")
+    gone = staged(held.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), f"{path}/gone")
+    away = lambda ids: small_side(ids.withColumnRenamed("doc_id", out))
+    out, cls, data, component = private(docs, "gone_id", "set_class", "set_text", "set_component")
+    left = docs.join(away(gone), F.col(doc_id) == F.col(out), "left_anti")
+    # Seen from the ids alone; texts are read again only where an id repeats.
+    if repeated.isEmpty():
         return left
-    return left.dropDuplicates([doc_id, text])
+    left = left.join(away(repeated), F.col(doc_id) == F.col(out), "left_anti")
+    again = docs.join(away(repeated), F.col(doc_id) == F.col(out), "left_semi").withColumn(data, text_bytes(text))
+    again = again.mapInArrow(_classed(docs.columns, data, cls), T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType())]))
+    keepers = held.filter("n_shingles > 0 and doc_id = component_id").groupBy("root").agg(F.any_value("component_id").alias(component), F.min("cls").alias(out)).drop("root")
+    kept = again.join(small_side(staged(keepers, f"{path}/keepers")), (F.col(doc_id) == F.col(component)) & (F.col(cls) == F.col(out)), "left_semi").dropDuplicates([doc_id, cls])
+    return left.unionByName(kept.drop(cls)).unionByName(again.filter(F.col(cls).isNull()).drop(cls))
