@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -167,6 +170,96 @@ def test_decontamination_discards_windows_that_contradict_the_rest(spark):
     assert found[2][0] == sum("Maria" not in " ".join(item.split()[i : i + 8]) or item.split()[i : i + 8].index("Maria") + i < 20 for i in range(n))
 
 
+def test_decontamination_finds_copies_in_another_case(spark):
+    noise = " ".join(f"noise{chr(97 + i % 7)} filler" for i in range(40))
+    forms, items = (str, str.lower, str.upper, str.title, str.swapcase), [x for x in ITEMS if x[1]]
+    docs = spark.createDataFrame([(10 * i + j, f"{noise}. {form(text)}. {noise}") for i, (_, text) in enumerate(items) for j, form in enumerate(forms)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.matched / r.windows for r in decontamination.contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert found == {(10 * i + j, item): 1.0 for i, (item, _) in enumerate(items) for j in range(len(forms))}
+
+
+def test_decontamination_of_scripts_without_blanks(spark):
+    item = "一列火车早上七点离开巴黎开往里昂行驶三百公里"
+    docs = spark.createDataFrame([(1, "我们今天看到" + item + "然后就回家了"), (2, "我们今天看到很多别的东西然后就一起回家了")], "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 1)]
+
+
+def test_decontamination_of_templates_that_repeat(spark):
+    """All places match all places: the work grows with them, and the copy is found."""
+    repeated = lambda n, start=0: " ".join(f"item {start + i}" for i in range(n // 2))
+    docs = spark.createDataFrame([(1, repeated(200)), (2, "some words before it " + repeated(60)), (3, repeated(3000, 7)), (4, "item " * 500)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, repeated(60))], "item_id long, text string")
+    found = {r.doc_id: (r.matched, r.windows) for r in decontamination.contaminated(docs, bench).collect()}
+    assert found[1] == found[2] == found[3] == (53, 53) and 4 not in found
+
+
+def shaped(text):
+    """(words, template) of ASCII texts by plain code, with and without names."""
+    raw = re.findall(r"[A-Za-z]+[.!?:]?|[0-9]+(?:[.,][0-9]+)*", text)
+    for names in (True, False):
+        shape = []
+        for i, w in enumerate(raw):
+            bare = w.rstrip(".!?:").lower()
+            if w[0].isdigit():
+                shape.append("#")
+            elif names and i and raw[i - 1][-1] not in ".!?:" and w[0].isupper() and len(w) > 1 and w != w.upper():
+                shape.append("@")
+            else:
+                shape.append("%" if i and raw[i - 1][0].isdigit() and bare in decontamination.UNITS else bare)
+        keep = [i for i, s in enumerate(shape) if not (i and s in "#@" and shape[i - 1] == s)]
+        yield [raw[i].rstrip(".!?:").lower() for i in keep], [shape[i] for i in keep]
+
+
+def best_alignment(doc, item, drift=8, size=8):
+    """The largest share of the item's windows in any alignment, by trying all."""
+    best = (0.0, 0, 0)
+    for (iraw, ishape), (draw, dshape) in itertools.product(shaped(item), shaped(doc)):
+        n = min(size, len(iraw))
+        matched = []
+        for i, d in itertools.product(range(len(iraw) - n + 1), range(len(draw) - n + 1)):
+            if n and ishape[i : i + n] == dshape[d : d + n]:
+                pairs = [(iraw[i + k], draw[d + k]) for k in range(n) if ishape[i + k] in "#@%"]
+                if n - len(pairs) >= len(pairs) or all(x == y for x, y in pairs):
+                    matched.append((i, d, pairs))
+        for start, reach in itertools.product({d - i for i, d, _ in matched}, (0, drift)):
+            own = [m for m in matched if start <= m[1] - m[0] <= start + reach]
+            counts = Counter(p for m in own for p in m[2])
+            stands = {}
+            for (x, y), c in sorted(counts.items(), key=lambda e: (-e[1], e[0][1])):
+                stands.setdefault(x, y)
+            held = {i for i, _, pairs in own if all(stands[x] == y for x, y in pairs)}
+            windows = len(iraw) - n + 1
+            best = max(best, (len(held) / windows, len(held), windows))
+    return best
+
+
+def test_decontamination_equals_trying_all_alignments(spark):
+    pick = random.Random(11)
+    plain, proper = ["the", "of", "boat", "runs", "five", "km", "with"], ["Anna", "Bo", "Carl"]
+    word = lambda: pick.choice([pick.choice(plain), pick.choice(plain), pick.choice(proper), str(pick.randrange(4))])
+    items = [(i, " ".join(word() for _ in range(pick.randrange(3, 26)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        part = pick.choice(items)[1].split()
+        for _ in range(pick.randrange(4)):
+            at = pick.randrange(len(part))
+            part[at : at + pick.randrange(2)] = [word()] if pick.random() < 0.7 else []
+            part = part or ["x"]
+        swap = dict(zip(proper, pick.sample(proper, 3), strict=True)) | dict(zip("0123", pick.sample("4567", 4), strict=True))
+        part = [swap.get(w, w) for w in part] if pick.random() < 0.5 else part
+        text = " ".join([word() for _ in range(pick.randrange(9))] + part + [word() for _ in range(pick.randrange(9))])
+        docs.append((i, pick.choice([str, str, str.lower, str.upper])(text)))
+    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.matched / r.windows, r.matched, r.windows) for r in decontamination.contaminated(*given).collect()}
+    wanted = {}
+    for (d, text), (i, item) in itertools.product(docs, items):
+        share, matched, windows = best_alignment(text, item)
+        if matched and matched >= math.ceil(windows * decontamination.COVERED):
+            wanted[d, i] = (share, matched, windows)
+    assert found == wanted and len(wanted) > 30
+
+
 def test_decontamination_stays_in_sql(spark):
     docs, bench = corpus.documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontamination.contaminated(docs, bench)._jdf.queryExecution().toString()

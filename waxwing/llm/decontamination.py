@@ -2,15 +2,15 @@
 
 A text becomes words and numbers. Numbers, units after a number and capitalised names inside a sentence become typed
 placeholders; names or numbers that follow each other have one, whose value is the first. Windows of template words are
-hashed and joined with those of the benchmark; so a question with other numbers or names still matches. Then the slots are
-held against each other: along one alignment of a document with an item, a value of the item stands for the value of the
+hashed and joined with those of the benchmark; so a question with other numbers or names still matches. As names are told by
+their capitals, each text also has its windows without regard to case, in which names are words; so a copy in another case
+matches too. Then the slots are held against each other: along one alignment of a document with an item, a value of the item stands for the value of the
 document that it meets most often, and windows that say otherwise don't count.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .work import folder, small_side, staged
@@ -25,7 +25,9 @@ UNITS = (
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent "
     "mph kmh degrees celsius fahrenheit watt watts volt volts"
 ).split()
-_WORD = r"\p{L}+[.!?:]?|\p{N}+(?:[.,]\p{N}+)*"
+#: Letters of scripts that set no blanks between words count one by one.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}"
+_WORD = rf"[{_ALONE}]|[\p{{L}}&&[^{_ALONE}]]+[.!?:]?|\p{{N}}+(?:[.,]\p{{N}}+)*"
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 
 
@@ -42,8 +44,8 @@ def _is_number(word: Column) -> Column:
     return word.rlike(r"^\p{N}")
 
 
-def template(tokens: Column) -> Column:
-    """Each word in lower case without its stop, or the placeholder of its type."""
+def template(tokens: Column, names: bool = True) -> Column:
+    """Each word in lower case without its stop, or the placeholder of its type; names have none if ``names`` is false."""
 
     def one(word: Column, i: Column) -> Column:
         before = F.get(tokens, i - 1)
@@ -52,15 +54,21 @@ def template(tokens: Column) -> Column:
         name = (first != F.lower(first)) & (F.length(word) > 1) & (word != F.upper(word)) & inside
         number = (first >= "0") & (first <= "9")
         unit = (F.length(word) <= 10) & _plain(word).isin(UNITS) & (i > 0) & _is_number(before)
-        return F.when(number | ((first > "z") & _is_number(word)), NUMBER).when(name, NAME).when(unit, UNIT).otherwise(_plain(word))
+        typed = F.when(number | ((first > "z") & _is_number(word)), NUMBER)
+        return (typed.when(name, NAME) if names else typed).when(unit, UNIT).otherwise(_plain(word))
 
     return F.transform(tokens, one)
 
 
 def canonical(texts: DataFrame, text: str) -> DataFrame:
-    """``texts`` with ``shape``, its template, and ``raw``, the words that it stands for: both without repeated placeholders."""
+    """``texts`` with ``shape``, its template, ``raw``, the words that it stands for, both without repeated placeholders, and
+    ``names``: a text with names has a second row, in which they are words."""
+    # In steps, so that no template is made twice.
+    typed = texts.withColumn("raw", words(text)).withColumn("named", template(F.col("raw"))).withColumn("worded", template(F.col("raw"), False))
+    form = lambda shape, names: F.struct(F.col(shape).alias("shape"), F.lit(names).alias("names"))
+    forms = F.when(F.col("named") == F.col("worded"), F.array(form("named", True))).otherwise(F.array(form("named", True), form("worded", False)))
+    typed = typed.withColumn("form", F.explode(forms)).drop("named", "worded").withColumn("shape", F.col("form.shape")).withColumn("names", F.col("form.names")).drop("form")
     first = lambda i: ~(F.get("shape", i).isin(NAME, NUMBER) & (F.get("shape", i) == F.coalesce(F.get("shape", i - 1), F.lit(""))))
-    typed = texts.withColumn("raw", words(text)).withColumn("shape", template(F.col("raw")))
     return typed.withColumns({c: F.filter(c, lambda _, i: first(i)) for c in ("shape", "raw")})
 
 
@@ -77,22 +85,44 @@ def _slots(raw: Column, shape: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, length, ipos, windows, hash, literal, slots) for each window; a shorter item is one window of its length."""
-    items = canonical(benchmark.select("item_id", "text"), "text").drop("text").filter(F.size("raw") > 0)
+    """(item_id, form, length, ipos, windows, hash, literal, slots) for each window; a shorter item is one window of its length."""
+    items = canonical(benchmark.select("item_id", "text"), "text").drop("text").withColumnRenamed("names", "form").filter(F.size("raw") > 0)
     items = items.withColumn("length", F.least(F.size("raw"), F.lit(window))).withColumn("windows", F.size("raw") - F.col("length") + 1)
     items = items.withColumn("hashed", F.transform("shape", lambda x: F.xxhash64(x))).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.col("windows"))))
     part = lambda c: F.slice(c, F.col("ipos"), F.col("length"))
     slots = _slots(part("raw"), part("shape"))
-    return items.select("item_id", "length", "ipos", "windows", F.xxhash64(part("hashed")).alias("hash"), slots.alias("slots")).withColumn("literal", F.col("length") - F.size("slots"))
+    return items.select("item_id", "form", "length", "ipos", "windows", F.xxhash64(part("hashed")).alias("hash"), slots.alias("slots")).withColumn("literal", F.col("length") - F.size("slots"))
+
+
+#: What tells alignments apart: document and item, which of their forms are held together, and the first of the shifts; an
+#: alignment of one shift by itself is ``alone``.
+_PAIR = ["doc_id", "item_id", "form", "names"]
+_ALIGNED = [*_PAIR, "alone", "start"]
+
+
+def _aligned(placed: DataFrame, drift: int) -> DataFrame:
+    """Each matched window once for each alignment that it is in: that of its own shift alone, as its values may hold where
+    a neighbour's contradict them, and those that begin with a shift up to ``drift`` before it."""
+    placed = placed.withColumn("shift", (F.col("dpos") - F.col("ipos")).cast("long"))
+    shifts = placed.select(*_PAIR, F.col("shift").alias("start")).distinct()
+    chained = placed.withColumn("start", F.explode(F.sequence(F.col("shift") - drift, F.col("shift")))).join(shifts, [*_PAIR, "start"])
+    return placed.withColumn("start", F.col("shift")).withColumn("alone", F.lit(True)).unionByName(chained.withColumn("alone", F.lit(False))).drop("shift")
 
 
 def _judged(aligned: DataFrame) -> DataFrame:
-    """``aligned`` with only the windows in ``part`` whose pairs give each value of the item its most frequent counterpart."""
-    counted = aligned.withColumn("all", F.flatten(F.transform("part", lambda x: x["pairs"])))
-    counted = counted.withColumn("each", F.transform(F.array_distinct("all"), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(F.filter("all", lambda y: y == p)).alias("n"))))
-    more = lambda p: F.exists("each", lambda q: (q["i"] == p["i"]) & ((q["n"] > p["n"]) | ((q["n"] == p["n"]) & (q["d"] < p["d"]))))
-    counted = counted.withColumn("bad", F.transform(F.filter("each", more), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
-    return counted.withColumn("part", F.filter("part", lambda x: ~F.arrays_overlap(x["pairs"], F.col("bad")))).drop("all", "each", "bad")
+    """``aligned`` without the windows that give a value of the item another counterpart than its most frequent one, the
+    smallest of equally frequent ones. Pairs are counted by groups, so the work grows with the windows."""
+    pairs = aligned.filter(F.size("pairs") > 0).select(*_ALIGNED, "ipos", "dpos", F.explode("pairs").alias("pair")).select(*_ALIGNED, "ipos", "dpos", "pair.i", "pair.d")
+    counts = pairs.groupBy(*_ALIGNED, "i", "d").agg(F.count("*").alias("n"))
+    most = counts.groupBy(*_ALIGNED, "i").agg(F.min(F.struct(-F.col("n"), "d"))["d"].alias("best"))
+    bad = pairs.join(most, [*_ALIGNED, "i"]).filter("d <> best").select(*_ALIGNED, "ipos", "dpos").distinct()
+    return aligned.join(bad, [*_ALIGNED, "ipos", "dpos"], "left_anti")
+
+
+def _covering(aligned: DataFrame, covered: float) -> DataFrame:
+    """(alignment, windows, matched) of those that hold enough of the item's windows."""
+    held = aligned.groupBy(*_ALIGNED, "windows").agg(F.count_distinct("ipos").alias("matched"))
+    return held.filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, covered: float = COVERED, drift: int = DRIFT) -> DataFrame:
@@ -104,35 +134,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     along the alignment, the smallest of equally frequent ones; different values of the item may stand for one. A window
     with fewer literal words than slots matches only if its values are equal. Windows run over whole texts. Null, empty and
     wordless texts and items match nothing; rows with a null id are left out of the result; rows that repeat an id count
-    as one document. The benchmark is broadcast only after a count of its windows, and shuffled beyond the bound.
+    as one document. Capitals tell names, but each text is also held without regard to case, so that copies in lower or
+    upper case or in title case match; the form with the larger share of windows is told. Letters of scripts without blanks
+    are words. The benchmark is broadcast only after a count of its windows, and shuffled beyond the bound.
     """
     path = folder(docs.sparkSession)
     windows = benchmark_windows(benchmark, window)
     lengths = sorted({window, *(r.length for r in windows.filter(F.col("length") < window).select("length").distinct().collect())})  # below ``window`` values
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
     # The arrays of hashes are made before they are exploded: the rows then carry the id, length, place and hash only.
-    rows = canonical(texts, "text").select("doc_id", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashed"))
-    rows = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("length"), _hashes(F.col("hashed"), n).alias("hashes")) for n in lengths))).alias("cut"))
-    rows = rows.select("doc_id", F.col("cut.length").alias("length"), F.posexplode("cut.hashes").alias("at", "hash"))
-    found = rows.join(small_side(windows), ["length", "hash"]).select("doc_id", "item_id", "length", "windows", "ipos", (F.col("at") + 1).alias("dpos"), "slots", "literal").distinct()
+    rows = canonical(texts, "text").select("doc_id", "names", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashed"))
+    rows = rows.select("doc_id", "names", F.explode(F.array(*(F.struct(F.lit(n).alias("length"), _hashes(F.col("hashed"), n).alias("hashes")) for n in lengths))).alias("cut"))
+    rows = rows.select("doc_id", "names", F.col("cut.length").alias("length"), F.posexplode("cut.hashes").alias("at", "hash"))
+    found = rows.join(small_side(windows), ["length", "hash"]).select(*_PAIR, "length", "windows", "ipos", (F.col("at") + 1).alias("dpos"), "slots", "literal").distinct()
     found = staged(found, f"{path}/found")
 
-    exact = found.filter(F.size("slots") == 0).select("doc_id", "item_id", "windows", "ipos", "dpos", F.array().cast("array<struct<i:string,d:string>>").alias("pairs"))
+    exact = found.filter(F.size("slots") == 0).select(*_PAIR, "windows", "ipos", "dpos", F.array().cast("array<struct<i:string,d:string>>").alias("pairs"))
     slotted = found.filter(F.size("slots") > 0)
-    again = canonical(texts.join(small_side(slotted.select("doc_id").distinct()), "doc_id", "left_semi"), "text").drop("text").join(slotted, "doc_id")
+    again = canonical(texts.join(small_side(slotted.select("doc_id").distinct()), "doc_id", "left_semi"), "text").drop("text").join(slotted, ["doc_id", "names"])
     part = lambda c: F.slice(c, F.col("dpos"), F.col("length"))
     again = again.withColumn("own", _slots(part("raw"), part("shape"))).filter(F.size("own") == F.size("slots"))
     again = again.filter((F.col("literal") >= F.size("slots")) | (F.col("own") == F.col("slots")))
-    again = again.select("doc_id", "item_id", "windows", "ipos", "dpos", F.zip_with("slots", "own", lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
-
-    # An alignment holds the windows of neighbouring shifts; an item's length bounds its values, so these sets are small.
-    aligned = exact.unionByName(again).groupBy("doc_id", "item_id", "windows", (F.col("dpos") - F.col("ipos")).cast("long").alias("shift")).agg(F.collect_set(F.struct("ipos", "pairs")).alias("part"))
-    near = W.partitionBy("doc_id", "item_id", "windows").orderBy("shift")
-    # A shift whose values hold by themselves counts also where a neighbour's contradict them.
-    chained = aligned.withColumn("part", F.flatten(F.collect_list("part").over(near.rangeBetween(0, drift))))
-    judged = _judged(aligned).unionByName(_judged(chained))
-    hit = judged.withColumn("matched", F.size(F.array_distinct(F.transform("part", lambda x: x["ipos"]))).cast("long")).filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
-    return hit.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").cast("long").alias("windows"))
+    again = again.select(*_PAIR, "windows", "ipos", "dpos", F.zip_with("slots", "own", lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
+
+    placed = exact.unionByName(again).distinct()
+    # Only alignments that could do if all their values held are judged.
+    aligned = _aligned(placed, drift)
+    wide = _covering(aligned, covered).select(*_ALIGNED)
+    hit = _covering(_judged(staged(aligned.join(wide, _ALIGNED, "left_semi"), f"{path}/aligned")), covered)
+    best = F.max_by(F.struct(F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows")), F.struct(F.col("matched") / F.col("windows"), "matched", "windows"))
+    return hit.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.matched", "best.windows")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
