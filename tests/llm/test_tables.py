@@ -96,10 +96,10 @@ def test_neighbours_reach_the_recall(spark):
     hit = 0
     for q, got in by.items():
         gap = {i: float(np.sqrt(((x[i] - x[q]) ** 2).sum())) for i in range(1500) if i != q}
-        gap[7] = min(gap[7], float(np.sqrt(((x[200] - x[q]) ** 2).sum())))
-        best = sorted(gap, key=lambda i: (gap[i], i))[:10]
-        hit += len(set(best) & {i for i, _ in got})
-        assert len(got) == 10 and all(gap[i] == pytest.approx(s, abs=1e-12) for i, s in got)
+        other = float(np.sqrt(((x[200] - x[q]) ** 2).sum()))  # of the other row of id 7
+        best = sorted([*((g, i) for i, g in gap.items()), (other, 7)])[:10]
+        hit += len({i for _, i in best} & {i for i, _ in got})
+        assert len(got) == 10 and all(s == pytest.approx(gap[i], abs=1e-12) or i == 7 and s == pytest.approx(other, abs=1e-12) for i, s in got)
         assert [s for _, s in got] == sorted(s for _, s in got)
     assert hit / (10 * len(by)) >= 0.9
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
@@ -107,6 +107,17 @@ def test_neighbours_reach_the_recall(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
 
 
+def test_neighbours_of_repeated_ids_are_rows(spark):
+    """Rows that repeat an id are candidates each, equal ones too; a query's id asks once and is no candidate of its own."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 1.0])] + [(1, [1.0 + 0.001 * i, 1.0]) for i in range(1, 60)] + [(i, (5 + rng.random(2)).tolist()) for i in range(2, 30)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in found)
+    assert got == [(i, 1, round(0.001 * i, 9)) for i in range(1, 11)]
+    again = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [2.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (4, [1.0, 0.5])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in again) == [(1, 5, 0.0), (2, 5, 0.0), (3, 4, 0.5)]
+
+
 def test_neighbours_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 100)
     monkeypatch.setattr(neighbours, "QUERIES", 3)

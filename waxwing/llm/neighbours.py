@@ -25,8 +25,9 @@ def projections(dims: int, count: int = PROJECTIONS, seed: int = SEED) -> np.nda
     return np.random.Generator(np.random.PCG64(seed)).standard_normal((dims, count))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, distances) of about the k nearest of one block of vectors, for each query.
+def search_block(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, places, distances) of about the k nearest of one block of vectors, for each query's place; nearest first,
+    then by id and row. Of rows that repeat an id each counts by itself; those with the query's id are no candidates.
 
     Each projection's values are sorted. A query's windows start narrow about its own values and widen by rounds (virtual
     rehashing); a vector that lies in enough of the windows is a candidate. The rounds end when the candidates make
@@ -39,9 +40,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     values = np.take_along_axis(values, order, axis=1)
     unit, wants = max(float(values.std()), 1e-300), (queries @ base).T
     need, enough = math.ceil(THRESHOLD * m), min(n, max(math.ceil(VERIFIED * n), 4 * (k + 1)))
-    count = np.zeros((len(query_ids), n), np.int16)
+    count = np.zeros((len(queries), n), np.int16)
     low = np.stack([np.searchsorted(v, w) for v, w in zip(values, wants, strict=True)])
-    high, open_, width = low.copy(), np.arange(len(query_ids)), FIRST * unit
+    high, open_, width = low.copy(), np.arange(len(queries)), FIRST * unit
     while len(open_):
         lo = np.stack([np.searchsorted(v, w - width) for v, w in zip(values, wants[:, open_], strict=True)])
         hi = np.stack([np.searchsorted(v, w + width, "right") for v, w in zip(values, wants[:, open_], strict=True)])
@@ -59,26 +60,32 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             if len(gap) > 4 * k:
                 near = np.flatnonzero(gap <= np.partition(gap, 2 * k)[2 * k])
                 found, gap = found[near], gap[near]
-            best = np.lexsort((ids[found], gap))
-            yield int(query_ids[q]), ids[found][best], gap[best]
+            best = np.lexsort((rows[found], ids[found], gap))[:k]
+            yield q, found[best], gap[best]
         low[:, open_], high[:, open_] = np.minimum(lo, low[:, open_]), np.maximum(hi, high[:, open_])
         open_, width = np.array(rest, np.int64), width * WIDER
 
 
-def _matrix(table: pa.Table, ids: str, rows: str) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table, rows: str) -> np.ndarray:
     flat = table.column(rows).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return table.column(ids).to_numpy(), flat.astype(np.float64).reshape(table.num_rows, -1)
+    return flat.astype(np.float64).reshape(table.num_rows, -1)
+
+
+_FOUND = "query_id long, row long, vec_id long, score double"
 
 
 def _searched(k: int):
     def run(key: tuple[pa.Scalar, ...], block: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
-        if block.num_rows and asked.num_rows:
-            ids, vectors = _matrix(block, "id", "x")
-            found = list(search_block(ids, vectors, *_matrix(asked, "query_id", "y"), k))
-        size = [len(x[1]) for x in found]
-        none = [np.zeros(0)]
-        return pa.table({"query_id": pa.array(np.repeat([x[0] for x in found], size).astype(np.int64)), "vec_id": pa.array(np.concatenate([x[1] for x in found] or none).astype(np.int64)), "score": pa.array(np.concatenate([x[2] for x in found] or none))})
+        ids, rows = block.column("id").to_numpy(), block.column("row").to_numpy()
+        query_ids = asked.column("query_id").to_numpy()
+        if len(ids) and len(query_ids):
+            found = list(search_block(ids, rows, _matrix(block, "x"), query_ids, _matrix(asked, "y"), k))
+        query = np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])
+        score = np.concatenate([np.zeros(0), *(x[2] for x in found)])
+        columns = (query_ids[query], rows[place], ids[place], score)
+        return pa.table({name.split()[0]: pa.array(x) for name, x in zip(_FOUND.split(", "), columns, strict=True)})
 
     return run
 
@@ -93,21 +100,20 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): about the k nearest by Euclidean distance of the rows whose id ``every`` divides.
 
-    Candidates are all rows but those with the query's own id. Ties go to the smaller id; distances are exact. Null,
-    zero and non-finite vectors take no part; vectors meet only those of as many components. A query that repeats
-    counts once; other rows that repeat an id count once each id, at its least distance. An empty table gives no rows.
-    Queries go in blocks to all blocks of vectors, and each pair of blocks gives its few best of each query: nothing else
-    moves after that.
+    Candidates are all rows but those with the query's own id, and each row counts, also of those that repeat an id or are
+    equal; a query id that repeats asks once, by the least of its vectors. Ties go to the smaller id. Distances are exact.
+    Null, zero and non-finite vectors take no part, nor do rows with a null id; vectors meet only those of as many
+    components. An empty table gives no rows. Queries go in blocks to all blocks of vectors, and each pair of blocks gives
+    the k best of each query: nothing else moves after that.
     """
     path = folder(vectors.sparkSession)
-    rows = staged(usable(vectors, vec_id, embedding).dropDuplicates(["id", "x"]).withColumn("dims", F.size("x")), path)
-    asked = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    rows = staged(usable(vectors, vec_id, embedding).withColumn("dims", F.size("x")).withColumn("row", F.monotonically_increasing_id()), path)
+    asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x")).withColumn("dims", F.size("x"))
     vector_blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, BLOCK), (asked, QUERIES)))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks = rows.select("dims", F.pmod(F.xxhash64("id", "x"), F.lit(vector_blocks)).cast("int").alias("v"), upto(query_blocks).alias("q"), "id", "x")
+    blocks = rows.select("dims", F.pmod(F.xxhash64("row"), F.lit(vector_blocks)).cast("int").alias("v"), upto(query_blocks).alias("q"), "id", "row", "x")
     asked = asked.select("dims", upto(vector_blocks).alias("v"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"), F.col("id").alias("query_id"), F.col("x").alias("y"))
     keys = ["dims", "v", "q"]
-    found = blocks.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
+    found = blocks.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(_searched(k), _FOUND)
+    best = W.partitionBy("query_id").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
