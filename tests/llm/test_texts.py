@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import corpus
 from waxwing.llm import decontamination, lines, quality, suffixes
@@ -323,3 +324,27 @@ def test_sha_of_the_query_matches_the_operator(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id: hashlib.sha256(bytes(r._kept)).hexdigest() for r in suffixes.without_repeats(docs).collect()}
     assert kept[0] == hashlib.sha256(b"x" * 10).hexdigest() and kept[1] == hashlib.sha256(b"").hexdigest()
+
+
+def test_classifier_learns_from_the_column_it_scores(spark):
+    labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(corpus.rows()) if r[0]], "doc_id long, quality int, toxic int")
+    docs = corpus.documents(spark).select("doc_id", "text")
+    wanted = {r.doc_id: r._score for r in quality.scored(docs, labels).collect()}
+    other = docs.withColumnsRenamed({"text": "body_of_it", "doc_id": "key"}).withColumn("text", F.lit("something else"))
+    assert {r.key: r._score for r in quality.scored(other, labels, text="body_of_it", doc_id="key").collect()} == wanted
+
+
+def test_the_vote_equals_a_plain_vote():
+    rng = np.random.Generator(np.random.PCG64(2))
+    counts = rng.poisson(0.05, (60, quality.TERMS)).astype(np.float32)
+    labels = (np.arange(60) % 3 == 0).astype(np.int64)
+    model = quality.fit_arrays(counts, labels)
+    asked = rng.poisson(0.05, (9, quality.TERMS)).astype(np.float32)
+    asked[4] = 0
+    for got, row in zip(model.scores(asked), asked, strict=True):
+        if not row.any():
+            assert got == 0.5
+            continue
+        near = sorted(((float(model.latent(row[None])[0] @ v), int(l)) for v, l in zip(model.vectors, labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(s, 0) ** quality.POWER + 1e-9, l) for s, l in near]
+        assert got == pytest.approx(sum(w * l for w, l in votes) / sum(w for w, _ in votes), abs=1e-4)

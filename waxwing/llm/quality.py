@@ -134,14 +134,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Model:
     """The model of at most ``sample`` labelled rows of each label, those with the least hashes of their ids."""
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
     known = known.filter(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     # Each label's rows are cut to the sample by a top-k, then joined: at most 2 * sample rows, of which the texts' counts.
     chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(sample) for v in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(small_side(chosen, 2 * sample), "id")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_bytes(text).alias("text")).join(small_side(chosen, 2 * sample), "id")
     counted = texts.select("id", "label", "text").mapInArrow(_counted, "id long, label int, counts binary")
     # Of rows that repeat an id with other texts, the one of the least hash of its terms.
     counted = counted.groupBy("id").agg(F.min_by(F.struct("label", "counts"), F.xxhash64("counts")).alias("x")).select("id", "x.label", "x.counts")
@@ -169,14 +169,14 @@ def _scored(model, body: str):
     return run
 
 
-def scored(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with _score, from the whole text of each row alone.
 
     Empty and null texts score 0.5, as does every row if no labelled row is to be had. Repeated rows score alike. Labels
     other than 0 and 1 are ignored; of two labels for an id the larger counts. A column _score is replaced.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, labels, sample))
+    model = spark.sparkContext.broadcast(fit(docs, labels, sample, text, doc_id))
     docs = docs.drop("_score")
     (body,) = private(docs, "body")
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_score", T.DoubleType())])
