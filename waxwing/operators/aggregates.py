@@ -46,8 +46,9 @@ def shares(df: DataFrame, column: str, top: int) -> DataFrame:
     """(name, n, pct) of the most frequent names; blanks are Unknown, the share is of all rows, rounded half up."""
     named = df.select(F.when(F.trim(F.coalesce(column, F.lit(""))) == "", "Unknown").otherwise(F.col(column)).alias("name"))
     counts = named.groupBy("name").agg(F.count("*").alias("n"))
-    pct = F.floor(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()) + 0.5).cast("long")
-    return counts.withColumn("pct", pct).orderBy(F.desc("n"), "name").limit(top)
+    total = F.broadcast(named.agg(F.count("*").alias("total")))  # one row
+    pct = F.floor(F.col("n") * 100.0 / F.col("total") + 0.5).cast("long")
+    return counts.join(total).select("name", "n", pct.alias("pct")).orderBy(F.desc("n"), "name").limit(top)
 
 
 def best_of(df: DataFrame, group: str, score: Column, order: str) -> DataFrame:

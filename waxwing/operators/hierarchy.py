@@ -1,6 +1,7 @@
 """Operators over a tree of nodes (id, name, parent_id, type, seq); roots have the parent ROOT.
 
-Each level is one join of the frontier with the nodes, until the frontier is empty: trees may be of any depth, and cycles end.
+Pointers to parents are doubled: after k turns each node points 2**k levels up, so a tree of any depth is walked in as many
+turns as its depth has binary digits. Each turn is written. Cycles end, as a turn that finds nothing new is the last.
 """
 
 from __future__ import annotations
@@ -8,31 +9,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waxwing.operators.staging import until_empty
+from waxwing.operators.staging import folder, staged
 
 ROOT = "ROOT"
 
 
+def _reached(first: DataFrame, pointers: DataFrame, of: str, upwards: bool) -> DataFrame:
+    """``first`` (of, id, level) and all that pointers (id, up) lead to, up or down, each id once for each ``of`` at its least level."""
+    path, turn = folder(first.sparkSession), 0
+    found = staged(first, f"{path}/found0")
+    jump = staged(pointers.dropna().distinct(), f"{path}/jump0")
+    while True:
+        here, there = ("id", "up") if upwards else ("up", "id")
+        steps = jump.select(F.col(here).alias("id"), F.col(there).alias("next"))
+        # What was found lies less than 2**turn levels away, so this finds what lies below twice that.
+        more = found.join(steps, "id").groupBy(of, F.col("next").alias("id")).agg((F.min("level") + (1 << turn)).alias("level"))
+        more = staged(more.join(found, [of, "id"], "left_anti"), f"{path}/found{turn + 1}")
+        if more.isEmpty():
+            return found
+        found, turn = found.unionByName(more), turn + 1
+        jump = staged(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")).distinct(), f"{path}/jump{turn}")
+
+
 def descendants(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(top, id, level) for each id of ``start`` and all below it; a node counts once for a top."""
     first = start.select(F.col("id").alias("top"), "id").distinct().withColumn("level", F.lit(0))
-    children = nodes.select(F.col("parent_id").alias("id"), F.col("id").alias("below"))
-    return until_empty(first, lambda now: now.join(children, "id").select("top", F.col("below").alias("id"), (F.col("level") + 1).alias("level")), ["top", "id"])
+    return _reached(first, nodes.select("id", F.col("parent_id").alias("up")), "top", False)
 
 
 def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(of, id, level) for each id of ``start`` and all above it."""
     first = start.select(F.col("id").alias("of"), "id").distinct().withColumn("level", F.lit(0))
-    parents = nodes.select("id", F.col("parent_id").alias("above")).filter(F.col("above") != ROOT)
-    return until_empty(first, lambda now: now.join(parents, "id").select("of", F.col("above").alias("id"), (F.col("level") + 1).alias("level")), ["of", "id"])
+    return _reached(first, nodes.select("id", F.col("parent_id").alias("up")).filter(F.col("up") != ROOT), "of", True)
 
 
 def paths(nodes: DataFrame, key: str = "name") -> DataFrame:
     """(id, depth, path) of each node that hangs on a root; orphans go. The path joins the keys from the root down."""
-    named = nodes.select("id", "parent_id", F.col(key).cast("string").alias("key"))
-    first = named.filter(F.col("parent_id") == ROOT).select("id", F.lit(0).alias("depth"), F.col("key").alias("path"))
-    children = named.select(F.col("parent_id").alias("id"), F.col("id").alias("below"), "key")
-    return until_empty(first, lambda now: now.join(children, "id").select(F.col("below").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "key").alias("path")), ["id"])
+    out, turn = folder(nodes.sparkSession), 0
+    now = nodes.select("id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.concat_ws("/", F.col(key).cast("string")).alias("path")).dropDuplicates(["id"])
+    open_, found = staged(now, f"{out}/open0"), None
+    while True:
+        done = open_.filter(F.col("up") == ROOT)
+        if done.isEmpty():
+            # A tree has nodes at all depths down to its deepest: the rest are orphans or cycles.
+            return found.select("id", "depth", "path") if found is not None else done.select("id", "depth", "path")
+        found = done if found is None else found.unionByName(done)
+        above = found.unionByName(open_.filter(F.col("up") != ROOT)).select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("path").alias("before"))
+        longer = open_.filter(F.col("up") != ROOT).join(above, "up").select("id", F.col("far").alias("up"), (F.col("depth") + F.col("more") + 1).alias("depth"), F.concat_ws("/", "before", "path").alias("path"))
+        turn += 1
+        open_ = staged(longer, f"{out}/open{turn}")
 
 
 def tracks_below(nodes: DataFrame, entries: DataFrame, folder: str) -> DataFrame:

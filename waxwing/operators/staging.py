@@ -1,11 +1,11 @@
-"""Written intermediates, loops until nothing is new, and numbering over many tasks."""
+"""Written intermediates, and numbering over many tasks."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,19 +29,6 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def until_empty(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
-    """``first`` and what repeated steps from it find, each row of ``keys`` once: the loop ends when a step finds nothing
-    new, so it ends on cycles too. Each step's rows are written."""
-    path, n = folder(first.sparkSession), 0
-    level = found = staged(first, f"{path}/0")
-    while True:
-        n += 1
-        level = staged(step(level).join(found, list(keys), "left_anti").dropDuplicates(list(keys)), f"{path}/{n}")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-
-
 def numbered_in_order(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:
     """``df`` with each row's place from 1 in the order, which must have no ties to be the same in each run.
 

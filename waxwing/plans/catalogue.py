@@ -10,6 +10,7 @@ from waxwing.functions import text as X
 from waxwing.operators import hierarchy as H
 from waxwing.operators import joins as J
 from waxwing.operators import stores as D
+from waxwing.operators.staging import numbered_in_order
 from waxwing.plans.joins import _DIFF, _sides
 from waxwing.plans.registry import query, table
 from waxwing.sources.adapters import NODES_SQL, entries, nodes, tracks
@@ -171,10 +172,10 @@ def variant_store(spark, d):
 
 @query("run_list", "SELECT 'run' || event_id % 3 AS run_id, max(ts) AS created_at, max_by(event_type, (ts, event_id)) AS status, count(*)::BIGINT AS mutation_count, row_number() OVER (ORDER BY max(ts) DESC, 1) AS place FROM events GROUP BY 1")
 def run_list(spark, d):
-    """Runs, newest first; there are as many as runs, not as mutations."""
+    """Runs, newest first, numbered over many tasks."""
     log = _events(spark, d).withColumn("run_id", F.concat(F.lit("run"), (F.col("event_id") % 3).cast("string")))
     runs = log.groupBy("run_id").agg(F.max("ts").alias("created_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("mutation_count"))
-    return runs.withColumn("place", F.row_number().over(W.orderBy(F.desc("created_at"), "run_id")).cast("long"))
+    return numbered_in_order(runs, [F.desc("created_at"), "run_id"])
 
 
 @query("manifest_list", "SELECT 'manifest-' || p_partkey || '.json' AS filename, p_name AS target, (p_size % 3)::BIGINT AS tracks, CASE WHEN p_size % 3 > 0 THEN p_type END AS scope_kind FROM part WHERE p_partkey % 5 > 1")

@@ -132,9 +132,9 @@ def semi_tag(spark, d):
     return tracks(spark, d).select("id").join(table(spark, d, "lineitem").filter("l_returnflag = 'N'").select(F.col("l_partkey").alias("id")), "id", "left_semi")
 
 
-@query("semi_playlist", f"SELECT id, title FROM {T} WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_orderkey BETWEEN 100 AND 400)")
+@query("semi_playlist", f"SELECT id, title FROM {T} WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 3)")
 def semi_playlist(spark, d):
-    return tracks(spark, d).join(entries(spark, d).filter("pid between 100 and 400").select(F.col("track_id").alias("id")), "id", "left_semi").select("id", "title")
+    return tracks(spark, d).join(entries(spark, d).filter("pid % 10 = 3").select(F.col("track_id").alias("id")), "id", "left_semi").select("id", "title")
 
 
 @query("merge_by_path", "SELECT coalesce(b.k, a.k) AS path, coalesce(b.title, a.title) AS title, coalesce(b.bpm, a.bpm) AS bpm, CASE WHEN a.k IS NULL THEN 'update' WHEN b.k IS NULL THEN 'base' ELSE 'both' END AS source FROM (SELECT p_partkey AS k, p_name AS title, p_retailprice AS bpm FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN upper(p_name) END AS title, p_retailprice * 2 AS bpm FROM part WHERE p_partkey % 2 = 0) b ON a.k = b.k")

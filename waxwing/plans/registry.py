@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "smart_all"
+FLAGSHIP = "smart_any"
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -364,12 +364,16 @@ def tree_delete(spark, d):
     return H.without_subtree(nodes(spark, d), "r1").select("id", "type")
 
 
-@query("tree_cycle", "SELECT 'r' || r_regionkey AS id, 'n' || n_nationkey AS new_parent, n_regionkey <> r_regionkey AS allowed FROM region, nation")
+@query(
+    "tree_cycle",
+    "SELECT 'c' || c_custkey AS id, 'o' || o_orderkey AS new_parent, c_custkey <> o_custkey AS allowed FROM orders JOIN customer ON c_custkey = CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 - 2 * (o_custkey % 2) END",
+)
 def tree_cycle(spark, d):
-    every = nodes(spark, d)
-    regions = every.filter(F.startswith("id", F.lit("r"))).select("id")
-    moves = regions.crossJoin(F.broadcast(every.filter(F.startswith("id", F.lit("n"))).select(F.col("id").alias("new_parent"))))
-    return H.allowed_moves(every, moves)
+    """Moves of customers below an order: every second is one of their own, which would close a ring."""
+    own, other = F.col("o_custkey"), F.col("o_custkey") + 1 - 2 * (F.col("o_custkey") % 2)
+    moved = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, own).otherwise(other).alias("c_custkey"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("new_parent"))
+    moves = moved.join(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "new_parent")
+    return H.allowed_moves(nodes(spark, d), moves)
 
 
 @query("tree_ancestors", "SELECT DISTINCT unnest(['o' || o_orderkey, 'c' || o_custkey, 'n' || c_nationkey, 'r' || n_regionkey]) AS id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
