@@ -91,7 +91,7 @@ _ALL = (
     op12_embedding_near_dedup,
     op13_lexical_search,
 )
-_SQL = {"op2_mixing": mixing.SQL, "op11_fill_in_middle": infilling.SQL, "op12_embedding_near_dedup": hashcodes.SQL, "op13_lexical_search": lexical.SQL}
+_SQL = {"op2_mixing": mixing.SQL, "op6_sharding": sharding.sql(), "op11_fill_in_middle": infilling.SQL, "op12_embedding_near_dedup": hashcodes.SQL, "op13_lexical_search": lexical.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

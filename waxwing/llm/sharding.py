@@ -73,3 +73,28 @@ def sharded(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str =
     out = rows.join(cells, ["_shard", cell])
     slot = F.col(before) + F.row_number().over(W.partitionBy("_shard", cell).orderBy(order, "_size")) - 1
     return out.withColumn("_slot", slot.cast("long")).drop(order, cell, before)
+
+
+def _draw_sql(level: str, node: str, key: str, weight: float) -> str:
+    return f"-ln((('0x' || substr(md5('{SEED}:{level}:' || {node} || ':' || {key}), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / {float(weight)}::DOUBLE"
+
+
+def _least_sql(level: str, nodes: list[tuple[str, float]], key: str) -> str:
+    drawn = ", ".join(f"{{'draw': {_draw_sql(level, n, key, w)}, 'id': {n}}}" for n, w in nodes)
+    return f"list_sort([{drawn}])[1].id"
+
+
+def sql() -> str:
+    """The contract's rows for 40 shards as DuckDB SQL; 40 is four whole regions, and shard 40 a region of its own."""
+    regions = [(str(i), RACKS * SHARDS) for i in range(4)]
+    rack = lambda region: _least_sql("rack", [(str(j), SHARDS) for j in range(RACKS)], f"(key || '/' || {region})")
+    shard = lambda region, rack: _least_sql("shard", [(f"({region} * {RACKS * SHARDS} + {rack} * {SHARDS} + {n})", 1) for n in range(SHARDS)], "key")
+    return f"""
+WITH crcs AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+given AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, string_split(hex(encode(coalesce(text, ''))), '') AS digits, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+data AS (SELECT doc_id, key, n, list_transform(range(n), lambda i: strpos('0123456789ABCDEF', digits[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', digits[2 * i + 2]) - 17) AS bytes FROM given),
+summed AS (SELECT doc_id, key, n, xor(4294967295, list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) AS crc FROM data, crcs),
+regioned AS (SELECT *, {_least_sql("region", regions, "key")} AS region, {_least_sql("region", [*regions, ("4", 1)], "key")} AS grown FROM summed),
+racked AS (SELECT *, {rack("region")} AS rack, {rack("grown")} AS grown_rack FROM regioned),
+placed AS (SELECT *, {shard("region", "rack")} AS shard, CASE WHEN grown = 4 THEN 40 ELSE {shard("grown", "grown_rack")} END AS grown_shard FROM racked)
+SELECT doc_id, n + 16 AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':' || crc), n) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard FROM placed"""
