@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waxwing.operators import outcomes
 from waxwing.operators.staging import folder
 from waxwing.plans.registry import query, table
-from waxwing.sources import catalog, plugins, projects, sinks
+from waxwing.sources import catalog, library, plugins, projects, sinks
 from waxwing.sources.adapters import TRACKS_SQL, entries, nodes, tracks
 from waxwing.streaming import ingest
 
@@ -107,3 +107,13 @@ def stream_ingest(spark, d):
     run = firsts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{path}/out/{replace.last}").select("user_id", "event_id")
+
+
+@query(
+    "library_contents",
+    f"SELECT 'o' || l_orderkey AS pid, l_orderkey::VARCHAR AS name, l_linenumber::BIGINT AS pos, t.id::VARCHAR AS id, title, round(bpm, 6) AS bpm, rating::INTEGER AS rating, 0::BIGINT AS duration_ms FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN {TRACKS_SQL} t ON t.id = l_partkey",
+)
+def library_contents(spark, d):
+    """All playlists with their tracks through the common view of catalogues."""
+    held = library.opened(spark, "tables", d).contents()
+    return held.select("pid", "name", "pos", "id", "title", F.round("bpm", 6).alias("bpm"), "rating", "duration_ms")
