@@ -101,8 +101,8 @@ def draws(doc_id: Column, epoch: int = 1) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
 
 
-_SHAPE = "n long, form string, prefix_chars long, middle_chars long, output binary"
-_FIELDS = ("n", "form", "prefix_chars", "middle_chars", "output")
+#: What is added, as Spark and Arrow call its types.
+_ADDED = [("n", T.LongType(), pa.int64()), ("form", T.StringType(), pa.string()), ("prefix_chars", T.LongType(), pa.int64()), ("middle_chars", T.LongType(), pa.int64()), ("output", T.BinaryType(), pa.binary())]
 
 
 def rearranged(data: bytes, chance: tuple[int, int, int, int], unit: re.Pattern | None, every: int) -> tuple[int, str, int | None, int | None, bytes]:
@@ -153,12 +153,11 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     an empty table gives none. Other columns are kept; if one is called like one of these, ours has underscores after it.
     Texts are cut one at a time where they lie: no shuffle, and memory for a batch of rows.
     """
-    made = private(docs, *(f"_{name}" for name in _FIELDS))
+    made = private(docs, *(f"_{name}" for name, *_ in _ADDED))
     data, *chances = private(docs, "data", "h1", "h2", "h3", "h4")
     names, pattern = docs.columns, re.compile(unit) if unit else None
     given = docs.withColumns({data: text_bytes(text)} | dict(zip(chances, draws(F.col(doc_id), epoch), strict=True)))
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    fields = [pa.field(n, t) for n, t in zip(made, types, strict=True)]
+    fields = [pa.field(n, arrow) for n, (_, _, arrow) in zip(made, _ADDED, strict=True)]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(frame: pa.RecordBatch, i: int) -> tuple:
@@ -167,7 +166,7 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         yield from _batches(frames, make, fields, names)
 
-    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(made, T._parse_datatype_string(_SHAPE).fields, strict=True))])
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, (_, kind, _) in zip(made, _ADDED, strict=True))])
     return given.mapInArrow(run, shape)
 
 
