@@ -104,7 +104,7 @@ def test_frequent_keys_leave_their_bucket():
     rows = np.zeros(30, jaccard._KEY)
     rows["key"], rows["cls"] = np.repeat([3, 4], [25, 5]), np.arange(30)
     dealt = jaccard._dealt([rows], 2, 7)
-    packed = {b: np.frombuffer(k, jaccard._KEY) for b, k in zip(dealt.column("bucket").to_pylist(), dealt.column("keys").to_pylist(), strict=True)}
+    packed = {b: jaccard.unpacked(k) for b, k in zip(dealt.column("bucket").to_pylist(), dealt.column("keys").to_pylist(), strict=True)}
     assert len(packed[1]) == jaccard.FEW + 1 and len(packed[0]) == 5 and len(packed[7]) == 25 - jaccard.FEW - 1
 
 
@@ -173,3 +173,14 @@ def test_keep_first_tells_rows_of_one_id_apart(spark):
     whole = jaccard._members(docs, "text", "doc_id").filter("doc_id is not null and n_shingles > 0").collect()
     after = jaccard._members(jaccard.keep_first(docs), "text", "doc_id").filter("doc_id is not null and n_shingles > 0").collect()
     assert {r.root for r in after} <= {r.cls for r in whole} and len(after) == len({r.root for r in whole})
+
+
+def test_packed_keys_come_back():
+    pick = np.random.default_rng(4)
+    rows = np.empty(70000, jaccard._KEY)
+    rows["key"], rows["cls"] = pick.integers(0, 1 << 48, len(rows), dtype=U), pick.integers(-(1 << 62), 1 << 62, len(rows))
+    rows["cfg"], rows["spare"] = pick.integers(0, 128, len(rows)), np.arange(len(rows)) % 65536
+    again = jaccard.unpacked(jaccard.packed(rows))
+    assert all((again[c] == rows[c]).all() for c in ("key", "cls", "cfg"))
+    assert (again["spare"] <= rows["spare"]).all() and (16 * again["spare"].astype(int) >= 15 * rows["spare"].astype(int)).all()
+    assert len(jaccard.unpacked(jaccard.packed(rows[:0]))) == 0

@@ -38,6 +38,8 @@ from waxwing.operators.components import components
 from .textkit import U, mix, shingle_sets
 from .work import folder, private, shuffle_partitions, small_side, staged, text_bytes
 
+#: Keys that a task holds before it deals them to their buckets.
+DEALT = 1 << 18
 #: Keys of at most so many documents give all their pairs, which is at most 28 each.
 FEW = 8
 #: In larger keys each document is paired with one head; keys draw theirs in so many ways, so a group of near copies,
@@ -46,6 +48,10 @@ HEADS = 12
 #: Documents and shingles in a tile of a key's comparisons.
 TILE, TILE_SHINGLES = 4096, 1 << 22
 _KEY = np.dtype([("key", "u8"), ("cls", "i8"), ("cfg", "u1"), ("spare", "u2")])
+#: The same as it is shuffled: 48 bits of a key, as keys that happen to be equal only cost a comparison, and a spare number
+#: rounded down to five leading bits, which only drops fewer keys.
+_PACKED = np.dtype([("low", "u4"), ("high", "u2"), ("cls", "i8"), ("cfg", "u1"), ("spare", "u1")])
+_KEY_BITS = U((1 << 48) - 1)
 _BAND = 0xD6E8FEB86659FD93
 _BLOCK = U(0xA0761D6478BD642F)
 
@@ -111,10 +117,10 @@ def _keys(buckets: int):
                 seen.add(cls)
                 for keys, cfg, spare in pigeonhole_keys(s):
                     part = np.empty(len(keys), _KEY)
-                    part["key"], part["cls"], part["cfg"], part["spare"] = keys, cls, cfg, spare
+                    part["key"], part["cls"], part["cfg"], part["spare"] = keys & _KEY_BITS, cls, cfg, spare
                     made.append(part)
                     held += len(part)
-                if held > 1_000_000:
+                if held > DEALT:
                     yield _dealt(made, buckets, apart)
                     made, held, apart = [], 0, apart + 1
             if made:
@@ -138,14 +144,32 @@ def _dealt(made: list[np.ndarray], buckets: int, apart: int) -> pa.RecordBatch:
     bucket = (rows["key"] % U(buckets)).astype(np.int64)
     rows = rows[np.argsort(bucket, kind="stable")]
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    cut = [rows[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([*range(buckets), apart], pa.int64()), pa.array([*cut, hot.tobytes()], pa.binary())], ["bucket", "keys"])
+    cut = [packed(rows[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([*range(buckets), apart], pa.int64()), pa.array([*cut, packed(hot)], pa.binary())], ["bucket", "keys"])
+
+
+def packed(rows: np.ndarray) -> bytes:
+    out = np.empty(len(rows), _PACKED)
+    out["low"], out["high"], out["cls"], out["cfg"] = rows["key"] & U(0xFFFFFFFF), rows["key"] >> U(32) & U(0xFFFF), rows["cls"], rows["cfg"]
+    spare = rows["spare"].astype(np.int64)
+    shift = np.maximum(np.frexp(spare.astype(np.float64))[1] - 5, 0)
+    out["spare"] = np.where(spare < 16, spare, (shift + 1) << 4 | (spare >> shift) & 15)
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    held = np.frombuffer(data, _PACKED)
+    out = np.empty(len(held), _KEY)
+    out["key"], out["cls"], out["cfg"] = held["low"].astype(U) | held["high"].astype(U) << U(32), held["cls"], held["cfg"]
+    code = held["spare"].astype(np.int64)
+    out["spare"] = np.where(code < 16, code, (16 + (code & 15)) << np.maximum((code >> 4) - 1, 0))
+    return out
 
 
 def _groups(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """Of the keys of a bucket that several classes share: all pairs for few classes, else the key's rows."""
-        rows = np.frombuffer(b"".join(table.column("keys").to_pylist()), _KEY)
+        rows = unpacked(b"".join(table.column("keys").to_pylist()))
         if table.column("bucket")[0].as_py() >= buckets:
             return _shared(np.zeros((0, 2), np.int64), rows)
         order = np.argsort(rows["key"], kind="stable")
@@ -195,8 +219,10 @@ def _shared(pairs: np.ndarray, many: np.ndarray) -> pa.Table:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches are within a seventh of both sizes together."""
     for batch in batches:
-        x = {k: batch.column(k).to_pylist() for k in ("na", "nb", "sa", "sb")}
-        keep = [7 * hamming(sa, sb) <= na + nb for na, nb, sa, sb in zip(x["na"], x["nb"], x["sa"], x["sb"], strict=True)]
+        keep = []
+        for at in range(0, batch.num_rows, 256):  # few sketches at a time, as those of long texts are long
+            x = batch.slice(at, 256)
+            keep += [7 * hamming(sa, sb) <= na + nb for na, nb, sa, sb in zip(*(x.column(k).to_pylist() for k in ("na", "nb", "sa", "sb")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
