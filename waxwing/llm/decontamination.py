@@ -25,9 +25,10 @@ UNITS = (
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent "
     "mph kmh degrees celsius fahrenheit watt watts volt volts"
 ).split()
-#: Letters of scripts that set no blanks between words count one by one.
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}"
-_WORD = rf"[{_ALONE}]|[\p{{L}}&&[^{_ALONE}]]+[.!?:]?|\p{{N}}+(?:[.,]\p{{N}}+)*"
+#: The blocks of Thai and Lao, Khmer, Kana and Han letters. Their scripts set no blanks between words, so they
+#: count one by one.
+_ALONE = r"\u0E00-\u0EFF\u1780-\u17FF\u3041-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3134F}"
+_WORD = rf"[\p{{L}}&&[^{_ALONE}]]+[.!?:]?|[{_ALONE}]|\p{{N}}+(?:[.,]\p{{N}}+)*"
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 
 
@@ -41,21 +42,22 @@ def _plain(word: Column) -> Column:
 
 
 def _is_number(word: Column) -> Column:
-    return word.rlike(r"^\p{N}")
+    """Whether a word or number is the latter; only signs above the letters a to z need a look at their class."""
+    first = F.substring(word, 1, 1)
+    return ((first >= "0") & (first <= "9")) | ((first > "z") & word.rlike(r"^\p{N}"))
 
 
-def template(tokens: Column, names: bool = True) -> Column:
-    """Each word in lower case without its stop, or the placeholder of its type; names have none if ``names`` is false."""
+def template(tokens: Column) -> Column:
+    """For each word ``type``, it in lower case without its stop or the placeholder of its type, and whether it is a ``name``."""
 
     def one(word: Column, i: Column) -> Column:
         before = F.get(tokens, i - 1)
         first = F.substring(word, 1, 1)
         inside = (i > 0) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
+        number = _is_number(word)
         name = (first != F.lower(first)) & (F.length(word) > 1) & (word != F.upper(word)) & inside
-        number = (first >= "0") & (first <= "9")
-        unit = (F.length(word) <= 10) & _plain(word).isin(UNITS) & (i > 0) & _is_number(before)
-        typed = F.when(number | ((first > "z") & _is_number(word)), NUMBER)
-        return (typed.when(name, NAME) if names else typed).when(unit, UNIT).otherwise(_plain(word))
+        unit = (i > 0) & _is_number(before) & (F.length(word) <= 10) & _plain(word).isin(UNITS)
+        return F.struct(F.when(number, NUMBER).when(unit, UNIT).otherwise(_plain(word)).alias("type"), name.alias("name"))
 
     return F.transform(tokens, one)
 
@@ -63,11 +65,12 @@ def template(tokens: Column, names: bool = True) -> Column:
 def canonical(texts: DataFrame, text: str) -> DataFrame:
     """``texts`` with ``shape``, its template, ``raw``, the words that it stands for, both without repeated placeholders, and
     ``names``: a text with names has a second row, in which they are words."""
-    # In steps, so that no template is made twice.
-    typed = texts.withColumn("raw", words(text)).withColumn("named", template(F.col("raw"))).withColumn("worded", template(F.col("raw"), False))
-    form = lambda shape, names: F.struct(F.col(shape).alias("shape"), F.lit(names).alias("names"))
-    forms = F.when(F.col("named") == F.col("worded"), F.array(form("named", True))).otherwise(F.array(form("named", True), form("worded", False)))
-    typed = typed.withColumn("form", F.explode(forms)).drop("named", "worded").withColumn("shape", F.col("form.shape")).withColumn("names", F.col("form.names")).drop("form")
+    # In steps, so that no template is made twice. A number is no name, as it has no capital.
+    typed = texts.withColumn("raw", words(text)).withColumn("typed", template(F.col("raw")))
+    form = lambda shape, names: F.struct(shape.alias("shape"), F.lit(names).alias("names"))
+    worded, named = F.transform("typed", lambda x: x["type"]), F.transform("typed", lambda x: F.when(x["name"], NAME).otherwise(x["type"]))
+    forms = F.when(F.exists("typed", lambda x: x["name"]), F.array(form(named, True), form(worded, False))).otherwise(F.array(form(worded, True)))
+    typed = typed.withColumn("form", F.explode(forms)).drop("typed").withColumn("shape", F.col("form.shape")).withColumn("names", F.col("form.names")).drop("form")
     first = lambda i: ~(F.get("shape", i).isin(NAME, NUMBER) & (F.get("shape", i) == F.coalesce(F.get("shape", i - 1), F.lit(""))))
     return typed.withColumns({c: F.filter(c, lambda _, i: first(i)) for c in ("shape", "raw")})
 
@@ -100,13 +103,14 @@ _PAIR = ["doc_id", "item_id", "form", "names"]
 _ALIGNED = [*_PAIR, "alone", "start"]
 
 
-def _aligned(placed: DataFrame, drift: int) -> DataFrame:
-    """Each matched window once for each alignment that it is in: that of its own shift alone, as its values may hold where
-    a neighbour's contradict them, and those that begin with a shift up to ``drift`` before it."""
+def _aligned(placed: DataFrame, drift: int, alone: bool = True) -> DataFrame:
+    """Each matched window once for each alignment that it is in: those that begin with a shift up to ``drift`` before it, and,
+    if ``alone``, that of its own shift alone, as its values may hold where a neighbour's contradict them."""
     placed = placed.withColumn("shift", (F.col("dpos") - F.col("ipos")).cast("long"))
     shifts = placed.select(*_PAIR, F.col("shift").alias("start")).distinct()
     chained = placed.withColumn("start", F.explode(F.sequence(F.col("shift") - drift, F.col("shift")))).join(shifts, [*_PAIR, "start"])
-    return placed.withColumn("start", F.col("shift")).withColumn("alone", F.lit(True)).unionByName(chained.withColumn("alone", F.lit(False))).drop("shift")
+    chained = chained.withColumn("alone", F.lit(False)).drop("shift")
+    return placed.withColumn("start", F.col("shift")).withColumn("alone", F.lit(True)).drop("shift").unionByName(chained) if alone else chained
 
 
 def _judged(aligned: DataFrame) -> DataFrame:
@@ -125,6 +129,12 @@ def _covering(aligned: DataFrame, covered: float) -> DataFrame:
     return held.filter(F.col("matched") >= F.ceil(F.col("windows") * F.lit(covered)))
 
 
+def _told(hit: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, windows) of the form and alignment with the largest share of windows."""
+    best = F.max_by(F.struct(F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows")), F.struct(F.col("matched") / F.col("windows"), "matched", "windows"))
+    return hit.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.matched", "best.windows")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, covered: float = COVERED, drift: int = DRIFT) -> DataFrame:
     """(doc_id, item_id, matched, windows): documents that hold a benchmark item, as it is or with other slot values.
 
@@ -151,6 +161,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
     exact = found.filter(F.size("slots") == 0).select(*_PAIR, "windows", "ipos", "dpos", F.array().cast("array<struct<i:string,d:string>>").alias("pairs"))
     slotted = found.filter(F.size("slots") > 0)
+    if slotted.isEmpty():  # nothing to judge
+        return _told(_covering(_aligned(exact, drift, False), covered))
     again = canonical(texts.join(small_side(slotted.select("doc_id").distinct()), "doc_id", "left_semi"), "text").drop("text").join(slotted, ["doc_id", "names"])
     part = lambda c: F.slice(c, F.col("dpos"), F.col("length"))
     again = again.withColumn("own", _slots(part("raw"), part("shape"))).filter(F.size("own") == F.size("slots"))
@@ -162,8 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     aligned = _aligned(placed, drift)
     wide = _covering(aligned, covered).select(*_ALIGNED)
     hit = _covering(_judged(staged(aligned.join(wide, _ALIGNED, "left_semi"), f"{path}/aligned")), covered)
-    best = F.max_by(F.struct(F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows")), F.struct(F.col("matched") / F.col("windows"), "matched", "windows"))
-    return hit.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.matched", "best.windows")
+    return _told(hit)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
