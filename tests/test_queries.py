@@ -35,3 +35,12 @@ def test_query_equals_sql(spark, oracle, name):
     names = [c[0] for c in wanted.description]
     assert sorted(names) == order
     assert Counter(rows) == Counter(tuple(repr(r[names.index(c)]) for c in order) for r in wanted.fetchall())
+
+
+def test_resample_nearest_of_products_that_a_float_rounds_to_whole_numbers(spark, tmp_path):
+    rows = [(i, [-0.061000000685453415, None, 0.05299999937415123, -0.14900000393390656]) for i in range(4)] + [(4, []), (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = {r.vec_id: r.samples for r in registry.queries()["resample_nearest"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.execute(registry.oracle_sql()["resample_nearest"]).fetchall()) and "-61" in found[0] and "NULL" in found[0]

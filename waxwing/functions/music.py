@@ -177,7 +177,7 @@ def resample_nearest(values: Column, rate: Column, wanted: int) -> Column:
     ratio = rate.cast("double") / float(wanted)
     count = F.ceil(F.size(values) / ratio).cast("int")
     pick = lambda i: F.get(values, F.least(F.floor(i * ratio).cast("int"), F.size(values) - 1))
-    return F.when(F.size(values) == 0, values).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), pick))
+    return F.when(values.isNull() | (F.size(values) == 0), values).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), pick))
 
 
 def resample_linear(values: Column, points: int) -> Column:

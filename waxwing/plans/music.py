@@ -193,9 +193,10 @@ def accuracy_summary(spark, d):
 def resample_nearest(spark, d):
     """Vectors as samples of four rates, brought to one."""
     rate = F.element_at(F.array(*map(F.lit, (16000, 44100, 48000, 11025))), (F.col("vec_id") % 4 + 1).cast("int"))
-    whole = F.transform("embedding", lambda x: F.floor(x * 1000).cast("int"))
+    # A whole number would make the product a double, which falls on the other side of some whole numbers than a float.
+    whole = F.transform("embedding", lambda x: F.floor(x * F.lit(1000).cast("float")).cast("int"))
     told = M.resample_nearest(whole, rate, 16000)
-    return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(told, ", "), F.lit("]")).alias("samples"))
+    return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(told, ", ", "NULL"), F.lit("]")).alias("samples"))
 
 
 @query("loudness_lufs")
