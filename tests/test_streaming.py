@@ -109,3 +109,32 @@ def test_a_failing_callback_leaves_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="analyser"):
         importer(spark.createDataFrame([("a", 1)], "path string, size long"), 0)
     assert importer.imported().collect() == [] and importer.ledger().collect() == []
+
+
+def test_state_is_read_and_written_once_a_key():
+    """However many events are due, a timer asks each state a bounded number of times; what is told stays the same."""
+    from waxwing.streaming.lifecycle import _Lifecycle
+
+    calls = []
+
+    class Held:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: bool(self.rows), "get": lambda: self.rows if isinstance(self.rows, (list, tuple)) else None, "update": self._set, "put": self._set, "appendList": lambda x: self._set([*self.rows, *x]), "clear": lambda: self._set([])}[name]
+
+        def _set(self, rows):
+            self.rows = rows
+
+    class Timers:
+        registerTimer = staticmethod(lambda at: calls.append("timer"))  # noqa: N815
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)  # noqa: N815
+
+    life = _Lifecycle(("end",), 3600, 86400)
+    life.handle, life.history, life.last = Timers, Held([("a",)]), Held((5, "a", 2))
+    life.waiting = Held([(10**6 * i, "", "ab"[i % 2]) for i in range(1, 500)])
+    told = list(life.handleExpiredTimer(("k",), Timers, None))[0]
+    assert told["nth"].tolist() == list(range(2, 501)) and set(told["life"]) == {2} and told["stages"].iloc[-1] == ["a", *["ba"[i % 2] for i in range(499)]]
+    assert len(calls) < 20 and life.last.rows == (499 * 10**6, "b", 2)

@@ -60,30 +60,36 @@ class _Lifecycle(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
         due, rest = [x for x in waiting if x[0] <= passed], [x for x in waiting if x[0] > passed]
-        out = []
+        # A call of the state is a way to another process and back, so it is read and written once a key, not once an event.
+        last = self.last.get() if self.last.exists() else None
+        so_far = [x[0] for x in self.history.get()] if due and self.history.exists() else []
+        out, kept = [], len(so_far)
         for us, _, stage in due:
-            last = self.last.get() if self.last.exists() else None
             new = last is None or us - last[0] > self._limit(last[1])
             life = (last[2] if last else 0) + new
             if new:
-                self.history.clear()
+                so_far, kept = [], 0
             if new or last[1] != stage:
-                self.history.appendValue((stage,))
-                so_far = [x[0] for x in self.history.get()]
+                so_far = [*so_far, stage]
                 out.append((key[0], life, len(so_far), stage, pd.Timestamp(us, unit="us"), so_far))
-            self.last.update((us, stage, life))
+            last = (us, stage, life)
+        if due:
+            self.last.update(last)
         if rest:
             self.waiting.put(rest)
             self.handle.registerTimer(-(-rest[0][0] // 1000))
         else:
             self.waiting.clear()
-        if self.last.exists():
-            us, stage, life = self.last.get()
-            end = (us + self._limit(stage)) // 1000 + 1
-            if not rest and end * 1000 <= passed:
-                # Only the number of lives stays of a forgotten key.
-                self.history.clear()
-            elif due:
+        end = (last[0] + self._limit(last[1])) // 1000 + 1 if last else 0
+        if last and not rest and end * 1000 <= passed:
+            # Only the number of lives stays of a forgotten key.
+            self.history.clear()
+        else:
+            if out and not kept:
+                self.history.put([(x,) for x in so_far])
+            elif len(so_far) > kept:
+                self.history.appendList([(x,) for x in so_far[kept:]])
+            if due:
                 self.handle.registerTimer(end)
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _STAGE.split(", ")])
