@@ -287,10 +287,11 @@ def slot_cap(spark, d):
 @query("reorder", "SELECT l_orderkey AS pid, l_linenumber AS pos, l_partkey AS track_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN f THEN 1.5 ELSE n END, l_linenumber, l_partkey, l_suppkey) - 1 AS new_pos FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::DOUBLE AS n FROM lineitem)")
 def reorder(spark, d):
     """The last entry of each playlist moves to the second place."""
-    keys = ["l_linenumber", "l_partkey", "l_suppkey"]
-    own = W.partitionBy("l_orderkey")
-    rows = table(spark, d, "lineitem").withColumns({"last": F.row_number().over(own.orderBy(*map(F.desc, keys))) == 1, "n": F.row_number().over(own.orderBy(*keys)).cast("double")})
-    place = F.row_number().over(own.orderBy(F.when(F.col("last"), 1.5).otherwise(F.col("n")), *keys)) - 1
+    own = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    # The entry after which none follows is the last, so one sort is enough: the first stays, the last follows it, and what was behind moves on.
+    n, last = F.row_number().over(own), F.lead(F.lit(True)).over(own).isNull()
+    rows = table(spark, d, "lineitem").withColumns({"n": n, "last": last})
+    place = F.when(F.col("n") == 1, 0).when(F.col("last"), 1).otherwise(F.col("n"))
     return rows.select(F.col("l_orderkey").alias("pid"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("track_id"), place.cast("long").alias("new_pos"))
 
 
