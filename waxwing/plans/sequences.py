@@ -472,8 +472,7 @@ def batch_update(spark, d):
 @query("add_entry_dedup", "SELECT l_orderkey AS pid, l_partkey AS track_id FROM lineitem UNION SELECT o_orderkey, o_custkey FROM orders")
 def add_entry_dedup(spark, d):
     new = table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("track_id"))
-    own = entries(spark, d).select("pid", "track_id").distinct()
-    return own.unionByName(new.join(own, ["pid", "track_id"], "left_anti").distinct())
+    return entries(spark, d).select("pid", "track_id").unionByName(new).distinct()
 
 
 @query("merge_memberships", f"SELECT pid, coalesce(k, track_id) AS track_id, min(pos) AS pos FROM (SELECT l_orderkey AS pid, l_partkey AS track_id, l_linenumber AS pos FROM lineitem) LEFT JOIN (SELECT id, min(id) OVER (PARTITION BY lower(title), lower(artist)) AS k FROM {T}) ON id = track_id GROUP BY 1, 2")
