@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waxwing.operators import outcomes
-from waxwing.sources import catalog, plugins, projects, sections
+from waxwing.sources import catalog, plugins, projects, sections, sinks
 
 
 def write_pages(folder):
@@ -195,3 +195,13 @@ def test_an_outside_program_fails_by_kind(spark, tmp_path):
     assert told[2].error.message == "status 3: broken" and told[2].value is None
     missing = outcomes.fingerprints(files.limit(2), "path", [f"{tmp_path}/nothing"], [str(tmp_path)]).collect()
     assert {r.print.error.kind for r in missing} == {"BinaryMissing"}
+
+
+def test_tracks_are_written_in_files_of_bounded_size(spark, monkeypatch, tmp_path):
+    """One part with many rows makes many files, as a file of XML is read by one task."""
+    monkeypatch.setattr(sinks, "RECORDS", 10)
+    tracks = spark.range(95).selectExpr("id", "concat('t', id) AS title", "concat('/m/', id) AS path").coalesce(1)
+    sinks.write_tracks(tracks, f"file://{tmp_path}/xml")
+    sizes = [x.read_text().count("<TRACK ") for x in (tmp_path / "xml").glob("part-*")]
+    assert sum(sizes) == 95 and max(sizes) <= 10
+    assert sorted(int(r.id) for r in catalog.read_tracks(spark, f"file://{tmp_path}/xml").collect()) == list(range(95))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from waxwing.operators.hierarchy import paths
 from waxwing.sources.catalog import ATTRIBUTES
 
+#: Tracks of a file of XML.
+RECORDS = 100_000
+
 
 def grid_of(anchors: str, beats: str) -> Column:
     """The tempo anchors, or the whole grid where there are none."""
@@ -25,7 +28,10 @@ def with_drop_cue(marks: str, drop: Column) -> Column:
 
 
 def write_tracks(tracks: DataFrame, path: str) -> None:
-    """Tracks as XML elements with attributes, nested TEMPO and POSITION_MARK, in parts of one file for each task."""
+    """Tracks as XML elements with attributes, nested TEMPO and POSITION_MARK, in files of at most ``RECORDS`` tracks.
+
+    A file of XML is read by one task, and a small table with many rows comes as one part, so rows are dealt out first.
+    """
     text = lambda name: F.col(name).cast("string")
     attributes = [text(name).alias(f"_{x}") for x, (name, _) in ATTRIBUTES.items() if name in tracks.columns]
     location = F.concat(F.lit("file://localhost"), F.replace(F.replace(F.url_encode(F.coalesce("path", F.lit(""))), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")))
@@ -36,7 +42,8 @@ def write_tracks(tracks: DataFrame, path: str) -> None:
         nested.append(F.transform("beats", beat).alias("TEMPO"))
     if "position_marks" in tracks.columns:
         nested.append(F.transform("position_marks", mark).alias("POSITION_MARK"))
-    tracks.select(*attributes, location.alias("_Location"), *nested).write.mode("overwrite").format("xml").option("rootTag", "COLLECTION").option("rowTag", "TRACK").save(path)
+    elements = tracks.select(*attributes, location.alias("_Location"), *nested).hint("rebalance")
+    elements.write.mode("overwrite").option("maxRecordsPerFile", RECORDS).format("xml").option("rootTag", "COLLECTION").option("rowTag", "TRACK").save(path)
 
 
 def playlist_lines(nodes: DataFrame, entries: DataFrame) -> DataFrame:
